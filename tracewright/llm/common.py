@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,17 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+
+
+def arrow_batch(rows: Sequence[Sequence], ddl: str) -> pa.RecordBatch:
+    """Rows as an Arrow batch; ``ddl`` is the ``name type, ...`` that mapInArrow gets."""
+    fields = [x.split() for x in ddl.split(", ")]
+    schema = pa.schema([(name, _ARROW[kind]) for name, kind in fields])
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     cond = F.lit(True)
     for k in keys:

@@ -12,8 +12,8 @@ run without a space. Repeated rows and ids are counted row by row; other columns
 
 from __future__ import annotations
 
-import heapq
 import re
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,64 +26,72 @@ from .common import bounded_batches
 SPACE = "▁"
 CUTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Counts kept by a worker, and the longest cut that is worth keeping.
-KEPT, KEPT_LENGTH = 400_000, 48
+KEPT, KEPT_LENGTH = 600_000, 48
 
 
-def merges(symbols: list[str], rank: dict[str, float]) -> int:
-    """How many pairs merge until no adjacent pair is in the vocabulary."""
-    n = len(symbols)
-    parts: list[str | None] = list(symbols)
+def merges(symbols: str | list[str], rank: dict[str, int]) -> int:
+    """How many pairs merge until no adjacent pair is in the vocabulary.
+
+    A heap entry holds rank and place; it is stale unless the pair that now starts there has that rank.
+    """
+    n, get = len(symbols), rank.get
+    parts = list(symbols)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = []
-    for i in range(n - 1):
-        pair = parts[i] + parts[i + 1]
-        r = rank.get(pair)
-        if r is not None:
-            heap.append((r, i, pair))
-    heapq.heapify(heap)
+    current = [get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+    current.append(None)
+    heap = [r << 32 | i for i, r in enumerate(current) if r is not None]
+    heapify(heap)
     merged = 0
     while heap:
-        _, i, pair = heapq.heappop(heap)
-        left = parts[i]
-        if left is None:
+        entry = heappop(heap)
+        i = entry & 0xFFFFFFFF
+        if current[i] != entry >> 32:
             continue
         j = after[i]
-        if j >= n or len(left) + len(parts[j]) != len(pair) or left + parts[j] != pair:
-            continue  # one of the two has merged elsewhere since
-        parts[i], parts[j] = pair, None
         k = after[i] = after[j]
+        parts[i] += parts[j]
+        current[j] = None
         merged += 1
         if k < n:
             before[k] = i
-            r = rank.get(new := pair + parts[k])
+            r = current[i] = get(parts[i] + parts[k])
             if r is not None:
-                heapq.heappush(heap, (r, i, new))
+                heappush(heap, r << 32 | i)
+        else:
+            current[i] = None
         h = before[i]
         if h >= 0:
-            r = rank.get(new := parts[h] + pair)
+            r = current[h] = get(parts[h] + parts[i])
             if r is not None:
-                heapq.heappush(heap, (r, h, new))
+                heappush(heap, r << 32 | h)
     return merged
 
 
 class Counter(dict):
-    """Token counts of cuts, each computed once while it is kept."""
+    """Token counts of cuts, each computed once while it is kept.
+
+    When the young generation is full it becomes the old one; what is used again moves back.
+    """
 
     def __init__(self, model_path: str):
         super().__init__()
         import sentencepiece
 
+        self.old: dict[str, int] = {}
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         usable = [i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        self.rank = {model.id_to_piece(i): -model.get_score(i) for i in usable}
+        self.rank = {model.id_to_piece(i): round(-model.get_score(i)) for i in usable}
+        self.known = frozenset(p for p in self.rank if len(p) == 1)
         crossing = [p for p in self.rank if SPACE in p.lstrip(SPACE)]
         if crossing:
             raise ValueError(f"pieces reach across spaces, cuts would be wrong: {crossing[:3]}")
 
     def __missing__(self, cut: str) -> int:
-        rank = self.rank
-        symbols = sum(1 if c in rank else len(c.encode("utf-8", "surrogatepass")) for c in cut)
-        n = symbols - merges(list(cut), rank)
+        n = self.old.get(cut)
+        if n is None:
+            n = len(cut) - merges(cut, self.rank)
+            if not self.known.issuperset(cut):
+                n += sum(len(c.encode("utf-8", "surrogatepass")) - 1 for c in cut if c not in self.known)
         if len(cut) <= KEPT_LENGTH:
             self[cut] = n
         return n
@@ -92,6 +100,7 @@ class Counter(dict):
         if not text:
             return 0
         if len(self) > KEPT:
+            self.old = dict(self)
             self.clear()
         return sum(map(self.__getitem__, CUTS.findall(SPACE + text.replace(" ", SPACE))))
 
