@@ -22,7 +22,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    ordered = mixed.withColumn("position", F.round(F.col("positions")[0], 6)).orderBy("position", "doc_id")
+    ordered = mixed.withColumn("position", F.round(F.get("positions", F.lit(0)), 6)).orderBy("position", "doc_id")
     return ordered.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
