@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,11 +62,52 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Number the rows of a deterministic scan; unlike ``doc_id`` the number never repeats."""
+    """Number the rows; unlike ``doc_id`` the number never repeats.
+
+    It holds only within what is staged from one scan: another scan can split the files in another way.
+    """
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+def text_key(text: str = "text") -> Column:
+    """With ``doc_id``, names a row for a second scan."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def kept_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decisions`` (doc_id, text_key, kept; one row each) keeps.
+
+    Only the keys of what goes are joined with the texts. Of repeated rows as many stay as are kept, one or all.
+    """
+    keys = ["doc_id", "text_key"]
+    per_key = decisions.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("kept").alias("k"))
+    less = stage(per_key.where("k < n").select(*keys, (F.col("k") > 0).alias("one")), "less")
+    rows = docs.withColumn("text_key", text_key())
+    out = rows.join(less, same_keys(rows, less, keys), "left_anti").select(*docs.columns)
+    one = less.where("one")
+    if not one.isEmpty():
+        repeated = rows.join(one, same_keys(rows, one, keys), "left_semi").dropDuplicates(keys)
+        out = out.unionByName(repeated.select(*docs.columns))
+    return out
+
+
+def bitmap_of(hashes: DataFrame, bits: int) -> bytes:
+    """A bitmap of ``bits`` bits with those of column ``hash``; its size bounds what reaches the driver."""
+    slot = F.pmod("hash", F.lit(bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int"))
+    words = hashes.groupBy((slot / 32).cast("long").alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(bits // 32, dtype=np.uint32)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return out.tobytes()
+
+
+def in_bitmap(bitmap: bytes, hashes: np.ndarray) -> np.ndarray:
+    marks = np.frombuffer(bitmap, dtype=np.uint32)
+    slot = hashes.view(np.int64) % (len(marks) * 32)
+    return (marks[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
+
+
+_ARROW = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
 
 
 def arrow_batch(rows: Sequence[Sequence], ddl: str) -> pa.RecordBatch:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, bounded_batches, same_keys, stage, with_row_id
+from .common import arrow_batch, bitmap_of, bounded_batches, in_bitmap, kept_rows, stage, text_key, with_row_id
 from .words import run_hashes, word_hashes
 
 #: Bits of the bitmap that filters document fingerprints.
@@ -59,7 +59,7 @@ def _context(words: list[bytes], place: int, before: int, after: int) -> tuple[i
 
 
 _ITEM = "item string, hash long, place int, length int, start int, context string"
-_HIT = "row_id long, n_words long, hash long, place int, length int, start int, context string"
+_HIT = "row_id long, doc_id {id}, text_key long, n_words long, hash long, place int, length int, start int, context string"
 _SPAN = "row_id long, item string, first int, last int"
 
 
@@ -84,52 +84,38 @@ def item_fingerprints(items: DataFrame, item_id: str, text: str, k: int, window:
     return items.select(F.col(item_id).cast("string"), F.col(text)).mapInArrow(run, _ITEM)
 
 
-def _bitmap(prints: DataFrame, bits: int) -> bytes:
-    """A bitmap of ``bits`` bits; what reaches the driver is bounded by its size."""
-    slot = F.pmod("hash", F.lit(bits))
-    words = prints.groupBy((slot / 32).cast("long").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int"))).alias("bits"))
-    out = np.zeros(bits // 32, dtype=np.uint32)
-    got = words.toArrow()
-    out[got["at"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
-    return out.tobytes()
-
-
 def contaminated_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, window: int = 10, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFrame]:
-    """``docs`` needs ``row_id``. Returns (row_id, n_words) of all rows, and the verified spans
-    (row_id, item, first, last) in words, both ends included."""
+    """(row_id, doc_id, text_key, n_words) of all rows, and the verified spans (row_id, item, first, last) in
+    words, both ends included."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    hit = _HIT.format(id=docs.schema["doc_id"].dataType.simpleString())
     prints = stage(item_fingerprints(items, item_id, item_text, k, window), "items")
     lengths = [r[0] for r in prints.where("length > 0").select("length").distinct().collect()]  # fewer than ``window``
-    bitmap = spark.sparkContext.broadcast(_bitmap(prints, bits))
+    bitmap = spark.sparkContext.broadcast(bitmap_of(prints, bits))
 
     def run(batches):
-        marks = np.frombuffer(bitmap.value, dtype=np.uint32)
-
-        def marked(h: np.ndarray) -> np.ndarray:
-            slot = h.view(np.int64) % bits
-            return (marks[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
-
         for batch in batches:
             out = []
-            for row, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for row, doc, key, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(body)
-                out.append((row, len(words), None, None, None, None, None))
+                out.append((row, doc, key, len(words), None, None, None, None, None))
                 own = word_hashes(words)
                 runs = run_hashes(own, k)
                 at = winnow(runs, window - k + 1)
-                at = at[marked(runs[at])]
+                at = at[in_bitmap(bitmap.value, runs[at])]
                 for i in at.tolist():
                     start, context = _context(words, i, window - k, window)
-                    out.append((row, None, _signed(int(runs[i])), i, 0, start, context))
+                    out.append((row, None, None, None, _signed(int(runs[i])), i, 0, start, context))
                 for n in lengths:
                     short = run_hashes(own, n)
-                    for i in np.flatnonzero(marked(short)).tolist():
-                        out.append((row, None, _signed(int(short[i])), i, n, i, b" ".join(words[i : i + n]).decode("utf-8", "surrogatepass")))
-            yield arrow_batch(out, _HIT)
+                    for i in np.flatnonzero(in_bitmap(bitmap.value, short)).tolist():
+                        out.append((row, None, None, None, _signed(int(short[i])), i, n, i, b" ".join(words[i : i + n]).decode("utf-8", "surrogatepass")))
+            yield arrow_batch(out, hit)
 
-    scanned = stage(docs.select("row_id", text).mapInArrow(run, _HIT), "fingerprints")
-    hits = scanned.where(F.col("hash").isNotNull()).drop("n_words")
+    rows = with_row_id(docs.select("doc_id", text_key(text).alias("text_key"), text))
+    scanned = stage(rows.select("row_id", "doc_id", "text_key", text).mapInArrow(run, hit), "fingerprints")
+    hits = scanned.where(F.col("hash").isNotNull()).drop("doc_id", "text_key", "n_words")
     theirs = prints.select("item", "hash", "length", F.col("place").alias("item_place"), F.col("start").alias("item_start"), F.col("context").alias("item_context"))
     pairs = hits.join(theirs, ["hash", "length"])
 
@@ -154,23 +140,21 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, text: str = "text", it
             yield arrow_batch(out, _SPAN)
 
     spans = stage(pairs.mapInArrow(extend, _SPAN), "spans")
-    return scanned.where(F.col("n_words").isNotNull()).select("row_id", "n_words"), spans
+    return scanned.where(F.col("n_words").isNotNull()).select("row_id", "doc_id", "text_key", "n_words"), spans
 
 
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """One row per document row: row_id, doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated."""
-    rows = with_row_id(docs.select("doc_id", "text"))
-    counts, spans = contaminated_spans(rows, items, **options)
+    """One row per document row: row_id, doc_id, text_key, n_words, n_hit, n_items, items (sorted ids), contaminated."""
+    counts, spans = contaminated_spans(docs, items, **options)
     places = spans.select("row_id", F.explode(F.sequence("first", "last")).alias("place")).distinct().groupBy("row_id").agg(F.count("*").alias("n_hit"))
     found = spans.select("row_id", "item").distinct().groupBy("row_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
     per_row = places.join(found, "row_id")
     return (
-        rows.select("row_id", "doc_id")
-        .join(counts, "row_id")
-        .join(per_row, "row_id", "left")
+        counts.join(per_row, "row_id", "left")
         .select(
             "row_id",
             "doc_id",
+            "text_key",
             "n_words",
             F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
             F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -181,8 +165,7 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark window; ``docs`` must be a deterministic scan."""
-    rows = with_row_id(docs, "_row_id")
-    _, spans = contaminated_spans(rows.withColumnRenamed("_row_id", "row_id").select("row_id", "text"), items)
-    dropped = spans.select(F.col("row_id").alias("_row_id")).distinct()
-    return rows.join(dropped, same_keys(rows, dropped, ["_row_id"]), "left_anti").select(*docs.columns)
+    """``docs`` without the rows that hold a benchmark window."""
+    counts, spans = contaminated_spans(docs, items)
+    hit = spans.select("row_id").distinct().withColumn("hit", F.lit(True))
+    return kept_rows(docs, counts.join(hit, "row_id", "left").select("doc_id", "text_key", F.col("hit").isNull().alias("kept")))

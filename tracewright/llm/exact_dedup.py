@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, same_keys, stage, with_row_id
+from .common import hot_join, kept_rows, stage, text_key, with_row_id
 
 #: Where a chunk may end: behind a sentence or clause mark, a space and a letter of one class.
 BOUNDARY = r"(?<=[.,;:!?] [a-hA-H])"
@@ -32,11 +32,12 @@ def chunks_of(text: Column, least: int, most: int) -> Column:
 
 
 def exact_groups(docs: DataFrame, least: int = 512, most: int = 8192) -> DataFrame:
-    """One row per document row: row_id, doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
-    text = with_row_id(docs.select("doc_id", "text")).withColumn("text", normalised(F.col("text")))
+    """One row per document row: row_id, doc_id, keep_id, group_size, kept, text_sha256, n_chunks, text_key."""
+    text = with_row_id(docs.select("doc_id", "text", text_key().alias("text_key"))).withColumn("text", normalised(F.col("text")))
     cut = text.select(
         "row_id",
         "doc_id",
+        "text_key",
         F.sha2("text", 256).alias("text_sha256"),
         F.transform(
             chunks_of(F.col("text"), least, most),
@@ -56,7 +57,7 @@ def exact_groups(docs: DataFrame, least: int = 512, most: int = 8192) -> DataFra
     )
     # recipes are compared whole; the row's own digest stands for documents without chunks
     recipes = stage(
-        cut.select("row_id", "doc_id", "text_sha256", F.size("chunks").alias("n_chunks"))
+        cut.select("row_id", "doc_id", "text_key", "text_sha256", F.size("chunks").alias("n_chunks"))
         .join(recipes, "row_id", "left")
         .withColumn("recipe", F.coalesce("recipe", F.array().cast("array<bigint>"))),
         "recipes",
@@ -73,11 +74,10 @@ def exact_groups(docs: DataFrame, least: int = 512, most: int = 8192) -> DataFra
         (F.col("row_id") == F.col("first.row_id")).alias("kept"),
         "text_sha256",
         "n_chunks",
+        "text_key",
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without all but the first of equal texts; ``docs`` must be a deterministic scan."""
-    dropped = stage(exact_groups(docs).where(~F.col("kept")).select(F.col("row_id").alias("_row_id")), "dropped")
-    rows = with_row_id(docs, "_row_id")
-    return rows.join(dropped, same_keys(rows, dropped, ["_row_id"]), "left_anti").select(*docs.columns)
+    """``docs`` without all but the first of equal texts."""
+    return kept_rows(docs, exact_groups(docs))

@@ -105,12 +105,3 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[S
 def training_order(mixed: DataFrame) -> DataFrame:
     """One row per taken copy, range-sorted by training position."""
     return mixed.select("row_id", "doc_id", "size", F.explode("positions").alias("position")).orderBy("position", "doc_id", "row_id")
-
-
-def mix_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` and their ``_copies`` and first ``_position`` for those that are taken, sorted by it."""
-    mixed = stage(mix(docs).where(F.col("copies") > 0).select(F.col("row_id").alias("_row_id"), F.col("copies").alias("_copies"), F.get("positions", F.lit(0)).alias("_position")), "mixed")
-    rows = with_row_id(docs, "_row_id")
-    return rows.join(mixed, "_row_id").drop("_row_id").orderBy("_position", "doc_id")
-
-
