@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, quality, tokens
+from . import decontaminate, exact_dedup, mixing, near_dedup, quality, tokens, toxicity
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -26,6 +26,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "n_matches")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -45,7 +49,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_mix_sources, op7_decontaminate, op8_exact_dedup, op9_near_dedup, op10_quality)}
+    return {f.__name__: f for f in (op3_token_counts, op4_mix_sources, op5_toxicity, op7_decontaminate, op8_exact_dedup, op9_near_dedup, op10_quality)}
 
 
 _MIX = """
@@ -98,8 +102,8 @@ _NEAR = """
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS shingle FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
-both AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b USING (shingle) WHERE a.r <> b.r GROUP BY ALL),
-links AS (SELECT a, b FROM both JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+pairs AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b USING (shingle) WHERE a.r <> b.r GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
 reach AS (SELECT r, r AS other FROM d UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.other),
 named AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.other GROUP BY reach.r)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
