@@ -200,6 +200,6 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one of the smallest id."""
     groups = near_groups(docs)
     # of repeated rows with one id, the first stays
-    first = groups.where("kept").groupBy("doc_id").agg(F.min("row_id").alias("first_row"))
-    kept = groups.join(first, groups["doc_id"].eqNullSafe(first["doc_id"]) & (groups["row_id"] == first["first_row"]), "left")
-    return kept_rows(docs, kept.select(groups["doc_id"], "text_key", (F.col("first_row").isNotNull() | (F.col("n_shingles") == 0)).alias("kept")))
+    first = groups.where("kept").groupBy("doc_id").agg(F.min("row_id").alias("first_row")).withColumnRenamed("doc_id", "id")
+    kept = groups.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_id") == F.col("first_row")), "left")
+    return kept_rows(docs, kept.select("doc_id", "text_key", (F.col("first_row").isNotNull() | (F.col("n_shingles") == 0)).alias("kept")))
