@@ -139,3 +139,17 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, tot
     by_broadcast = marked.where(F.col("_hot")).drop("_hot")
     by_shuffle = marked.where(F.col("_hot").isNull()).select(*left.columns).join(cold, keys, how)
     return by_broadcast.unionByName(by_shuffle)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int, spread: Column) -> DataFrame:
+    """Left join that scans ``left`` once, for wide left rows.
+
+    The at most HOT_SHARE keys that hold ``total / HOT_SHARE`` left rows or more are cut into parts of about that size by the
+    hash of ``spread``; their right rows, one a key, are repeated for each part.
+    """
+    limit = max(total // HOT_SHARE, 1000)
+    parts = F.ceil(F.col(count) / limit).cast("int")
+    hot = F.broadcast(right.where(F.col(count) >= limit).select(key, parts.alias("_parts")))
+    marked = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col(count) >= limit, parts).otherwise(1) - 1))).drop(count)
+    return marked.join(copies, [key, "_part"], "left").drop("_part")

@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, quality, tokens, toxicity
+from . import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, tokens, toolcalls, toxicity, warc
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of ``conversations`` as a call or result, linked; JSON tool calls in texts would be events as well."""
+    messages = table(spark, sf_dir, "conversations")
+    events = toolcalls.turns_as_events(messages).unionByName(toolcalls.parse_messages(messages))
+    linked = toolcalls.link(events, toolcalls.TURN_SCHEMAS)
+    return linked.select("conv_id", "turn", "kind", "call_id", "status", "ready", "depth", "n_results", "canonical", F.col("errors").isNull().alias("valid"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,6 +42,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "n_matches")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_links", F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -49,8 +66,33 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_mix_sources, op5_toxicity, op7_decontaminate, op8_exact_dedup, op9_near_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_tool_calls, op2_warc, op3_token_counts, op4_mix_sources, op5_toxicity, op6_line_dedup, op7_decontaminate, op8_exact_dedup, op9_near_dedup, op10_quality)}
+
+
+_CALLS = """
+WITH RECURSIVE e AS (
+  SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role <> 'assistant', true) AS is_call, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT *, 'call_' || conv_id || '_' || turn AS call_id, CASE WHEN turn > 0 THEN 'call_' || conv_id || '_' || greatest(turn - 2, 0) END AS after FROM e WHERE is_call),
+chain AS (
+  SELECT c.r, c.call_id, c.turn AS ready, CAST(0 AS BIGINT) AS depth FROM c LEFT JOIN c p ON p.call_id = c.after WHERE p.r IS NULL
+  UNION ALL SELECT c.r, c.call_id, greatest(c.turn, chain.ready), depth + 1 FROM chain JOIN c ON c.after = chain.call_id AND c.call_id <> chain.call_id),
+results AS (SELECT r, conv_id, turn, 'call_' || conv_id || '_' || (turn - 1) AS call_id FROM e WHERE NOT is_call),
+answers AS (SELECT call_id, count(*) AS n FROM results GROUP BY call_id)
+SELECT conv_id, turn, 'call' AS kind, c.call_id, CASE WHEN n IS NULL THEN 'unanswered' ELSE 'answered' END AS status, ready, depth, coalesce(n, 0) AS n_results,
+       CAST(json_object('conversation', conv_id, 'text', text, 'turn', turn) AS VARCHAR) AS canonical, text <> '' AS valid
+FROM c JOIN chain USING (r) LEFT JOIN answers ON answers.call_id = c.call_id
+UNION ALL
+SELECT conv_id, turn, 'result', results.call_id, CASE WHEN chain.r IS NULL THEN 'orphan' ELSE 'linked' END, greatest(turn, ready), depth, NULL, NULL, true
+FROM results LEFT JOIN chain ON chain.call_id = results.call_id
+"""
 
+_WARC = """
+WITH p AS (SELECT row_number() OVER () AS r, page_id, coalesce(html, '') AS h, url FROM pages),
+d AS (SELECT r, page_id, url, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url, r) AS n, first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND n > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND n > 1 THEN first END AS refers_to FROM k
+"""
 
 _MIX = """
 WITH sized AS (
@@ -112,4 +154,4 @@ FROM d JOIN named USING (r) LEFT JOIN n USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": _MIX, "op7_decontaminate": _DECONTAMINATE, "op8_exact_dedup": _EXACT, "op9_near_dedup": _NEAR}
+    return {"op1_tool_calls": _CALLS, "op2_warc": _WARC, "op4_mix_sources": _MIX, "op7_decontaminate": _DECONTAMINATE, "op8_exact_dedup": _EXACT, "op9_near_dedup": _NEAR}
