@@ -4,14 +4,15 @@ Every whole text becomes its set of distinct five-word shingles; documents with
 one entry. A class has ``SIGNATURE`` MinHash coordinates. Two sets with Jaccard 0.75 agree on 24 of 32 on average, and on
 fewer than ``MATCHES`` = 10 with probability 2e-8, so pairs with at least MATCHES equal coordinates are the candidates.
 
-Coordinate-value pairs are ordered by rarity. A pair of classes with MATCHES equal ones shares one among the rarest
-``SIGNATURE - MATCHES + 1`` of each (prefix); values that no other class has need no posting, and common ones, such as those of a
-passage in many documents, are mostly skipped. Posted classes meet per coordinate-value pair:
+Coordinate-value pairs (tokens) are ordered by rarity. Classes with MATCHES equal tokens share one among the rarest
+``SIGNATURE - MATCHES + 1`` of each (prefix); tokens that no other class has need no posting, and common ones, such as those of a
+passage in many documents, are mostly skipped. Posted classes meet per token:
 
-1. Twice, every member of a posting list meets one pivot of the list (a star, never all pairs), and confirmed links are
-   merged into components. A large group of near copies collapses here.
-2. Members of one list that are still in different components then meet each other, so no link between
-   components is lost. The count of equal coordinates is a condition of the join.
+1. In lists of fewer than ``SMALL`` classes all pairs meet, so at most SMALL / 2 for each posting.
+2. In longer lists every class meets two pivots of the list, and what is linked so far is merged into components.
+3. Members of a longer list that are still in different components then meet in a join whose condition is the whole test, equal tokens and full
+   sets, taken at their smallest common token alone. It gives nothing but links, so no link between components is lost, and a group
+   of many near copies costs no quadratic number of rows.
 
 Links are confirmed on the full sets, which are computed again for the posted classes alone.
 
@@ -32,9 +33,14 @@ from .words import mixed, run_hashes, word_hashes
 SIGNATURE, MATCHES, SHINGLE, PERCENT = 32, 10, 5, 75
 #: Bits of the bitmap that names the rows whose full sets are needed; it only filters.
 BITMAP_BITS = 1 << 22
+#: Posting lists from this length on are long.
+SMALL = 64
 _A = np.array([xxhash.xxh3_64_intdigest(b"a%d" % i) | 1 for i in range(SIGNATURE)], dtype=np.uint64)[:, None]
 _B = np.array([xxhash.xxh3_64_intdigest(b"b%d" % i) for i in range(SIGNATURE)], dtype=np.uint64)[:, None]
+_TAGS = np.arange(SIGNATURE, dtype=np.uint64) << np.uint64(32)
 _BLOCK = 4096
+#: Gives the second pivot another order.
+_MIX = 0x5DEECE66D
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -47,11 +53,11 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> list[int]:
-    """For each of SIGNATURE random orders the smallest value, as a signed 32-bit number."""
+    """For each of SIGNATURE random orders the smallest value, its upper half tagged with the order's number."""
     least = np.full(SIGNATURE, np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(hashes), _BLOCK):
         least = np.minimum(least, mixed(hashes[None, i : i + _BLOCK] * _A + _B).min(axis=1))
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
+    return ((least >> np.uint64(32)) | _TAGS).astype(np.int64).tolist()
 
 
 def set_id(hashes: np.ndarray) -> tuple[int, int]:
@@ -64,7 +70,7 @@ _CLASS = ["set_a", "set_b", "n_shingles"]
 
 def _scanned(docs: DataFrame) -> DataFrame:
     """row_id, doc_id, text_key, set id and signature of every row."""
-    out_type = f"row_id long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, set_a long, set_b long, n_shingles long, signature array<int>"
+    out_type = f"row_id long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, set_a long, set_b long, n_shingles long, signature array<long>"
 
     def run(batches):
         for batch in batches:
@@ -97,19 +103,29 @@ def _full_sets(docs: DataFrame, posted: DataFrame) -> DataFrame:
     return stage(posted.select("class_id", "signature", *_CLASS).join(found, _CLASS).dropDuplicates(["class_id"]).select("class_id", "n_shingles", "signature", "hashes"), "sets")
 
 
-def _equal_coordinates(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+def _near(size_a: Column, size_b: Column) -> Column:
+    return (size_a * 100 >= size_b * PERCENT) & (size_b * 100 >= size_a * PERCENT)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those with enough equal coordinates and, on the full sets, enough similarity."""
-    left = sets.select(F.col("class_id").alias("a"), F.col("n_shingles").alias("size_a"), F.col("signature").alias("signature_a"), F.col("hashes").alias("hashes_a"))
-    right = sets.select(F.col("class_id").alias("b"), F.col("n_shingles").alias("size_b"), F.col("signature").alias("signature_b"), F.col("hashes").alias("hashes_b"))
-    both = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    near = (F.col("size_a") * 100 >= F.col("size_b") * PERCENT) & (F.col("size_b") * 100 >= F.col("size_a") * PERCENT)
-    alike = _equal_coordinates(F.col("signature_a"), F.col("signature_b")) >= MATCHES
-    joined = pairs.join(left, "a").join(right, "b").where(near & alike)
-    return stage(joined.where(100 * both >= PERCENT * (F.col("size_a") + F.col("size_b") - both)).select("a", "b"), "links")
+def _linked(a: str, b: str) -> Column:
+    both = F.size(F.array_intersect(f"hashes_{a}", f"hashes_{b}"))
+    return 100 * both >= PERCENT * (F.col(f"size_{a}") + F.col(f"size_{b}") - both)
+
+
+def _alike(a: str, b: str) -> Column:
+    return F.size(F.array_intersect(f"signature_{a}", f"signature_{b}")) >= MATCHES
+
+
+def _side(df: DataFrame, x: str, *more: str) -> DataFrame:
+    return df.select(F.col("class_id").alias(x), F.col("n_shingles").alias(f"size_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in more])
+
+
+def _confirmed(pairs: DataFrame, posted: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those with enough equal tokens and, on the full sets, enough similarity."""
+    close = pairs.join(_side(posted, "a", "signature"), "a").join(_side(posted, "b", "signature"), "b")
+    close = stage(close.where(_near(F.col("size_a"), F.col("size_b")) & _alike("a", "b")).select("a", "b"), "close")
+    full = close.join(_side(sets, "a", "hashes"), "a").join(_side(sets, "b", "hashes"), "b")
+    return stage(full.where(_linked("a", "b")).select("a", "b"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -140,33 +156,30 @@ def near_groups(docs: DataFrame) -> DataFrame:
     scanned = stage(_scanned(docs), "signatures")
     own_classes = scanned.where("n_shingles > 0").groupBy(*_CLASS).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
     classes = stage(own_classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")
-    tokens = classes.select("class_id", F.posexplode("signature").alias("coordinate", "value"))
-    shared = stage(tokens.groupBy("coordinate", "value").agg(F.count("*").alias("uses")).where("uses > 1").withColumn("n", F.col("uses")), "shared")
+    tokens = classes.select("class_id", F.explode("signature").alias("token"))
+    shared = stage(tokens.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1").withColumn("n", F.col("uses")), "shared")
     n_classes = classes.count()
-    ranked = hot_join(tokens, shared, ["coordinate", "value"], "n", n_classes * SIGNATURE).groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("uses", "coordinate", "value"))).alias("ranked"))
-    # a class's own values come first in its prefix and need no posting
+    ranked = hot_join(tokens, shared, ["token"], "n", n_classes * SIGNATURE).groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("uses", "token"))).alias("ranked"))
+    # a class's own tokens come first in its prefix and need no posting
     places = F.size("ranked") - MATCHES + 1
-    posted = ranked.where(places > 0).withColumn("prefix", F.slice("ranked", F.lit(1), places)).drop("ranked").join(classes, "class_id")
-    posted = stage(posted, "posted")
-    posting = stage(posted.select("class_id", "n_shingles", "signature", F.explode("prefix").alias("p")).select("class_id", "n_shingles", "signature", "p.coordinate", "p.value"), "postings")
+    prefix = F.transform(F.slice("ranked", F.lit(1), F.greatest(places, F.lit(0))), lambda x: x["token"])
+    posted = stage(ranked.where(places > 0).withColumn("prefix", prefix).drop("ranked").join(classes, "class_id"), "posted")
     sets = _full_sets(docs, posted)
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / PERCENT))).alias("band")
-    light = posting.select("coordinate", "value", band, "class_id")
-    place = ["coordinate", "value", "band"]
-    lists = stage(light.groupBy(*place).agg(F.count("*").alias("n"), F.min("class_id").alias("first"), F.max("class_id").alias("last")).where("n > 1"), "lists")
-    n_postings = light.count()
-    links = None
-    for pivot in ("first", "last"):
-        met = hot_join(light, lists.select(*place, "n", F.col(pivot).alias("pivot")), place, "n", n_postings)
-        met = met.where("class_id != pivot").select(F.col("pivot").alias("a"), F.col("class_id").alias("b")).distinct()
-        if links is not None:  # the second pivot only for what the first has not joined with it
-            grouped = components(links)
-            met = _apart(met, grouped)
-        new = _confirmed(met, sets)
-        links = new if links is None else links.unionByName(new)
-    grouped = stage(components(links), "components")
-    links = links.unionByName(_confirmed(_left_over(posting, grouped), sets))
+    postings = stage(posted.select("class_id", "n_shingles", F.explode("prefix").alias("token")), "postings")
+    lists = stage(postings.groupBy("token").agg(F.count("*").alias("n"), F.min("class_id").alias("first"), F.min(F.col("class_id").bitwiseXOR(F.lit(_MIX))).bitwiseXOR(F.lit(_MIX)).alias("second")).where("n > 1"), "lists")
+    short = postings.join(lists.where(F.col("n") < SMALL).select("token"), "token")
+    one, two = _side(short, "a", "token"), _side(short, "b", "token")
+    met = one.join(two, (F.col("token_a") == F.col("token_b")) & (F.col("a") < F.col("b")) & _near(F.col("size_a"), F.col("size_b"))).select("a", "b")
+    long_lists = stage(lists.where(F.col("n") >= SMALL), "long")
+    n_postings = postings.count()
+    for pivot in ("first", "second"):
+        star = hot_join(postings.select("token", "class_id"), long_lists.select("token", "n", F.col(pivot).alias("pivot")), ["token"], "n", n_postings)
+        met = met.unionByName(star.where("class_id <> pivot").select(F.least("class_id", "pivot").alias("a"), F.greatest("class_id", "pivot").alias("b")).distinct())
+    links = _confirmed(met.distinct(), posted, sets)
     grouped = stage(components(links), "components")
+    more = _left_over(postings.join(long_lists.select("token"), "token"), posted, sets, grouped)
+    if not more.isEmpty():
+        grouped = stage(components(links.unionByName(more)), "components")
     first = classes.join(grouped.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     named = first.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     own = stage(first.join(named, "component").select(*_CLASS, "component_id", "copies"), "named")
@@ -175,25 +188,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return in_class.unionByName(alone).select("row_id", "doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _apart(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component yet."""
-    of = lambda name: grouped.select(F.col("node").alias(name), F.col("component").alias(f"in_{name}"))
-    marked = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return marked.where(~F.coalesce(F.col("in_a") == F.col("in_b"), F.lit(False))).select("a", "b")
-
-
-def _left_over(posting: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Pairs of one posting list that are in different components and agree on enough coordinates."""
-    marked = posting.join(grouped.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    place = ["coordinate", "value"]
-    mixed_lists = marked.groupBy(*place).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select(*place)
-    open_rows = stage(marked.join(mixed_lists, place), "open")
-    a = open_rows.select(*place, F.col("class_id").alias("a"), F.col("component").alias("in_a"), F.col("n_shingles").alias("size_a"), F.col("signature").alias("signature_a"))
-    b = open_rows.select(*place, F.col("class_id").alias("b"), F.col("component").alias("in_b"), F.col("n_shingles").alias("size_b"), F.col("signature").alias("signature_b"))
-    near = (F.col("size_a") * 100 >= F.col("size_b") * PERCENT) & (F.col("size_b") * 100 >= F.col("size_a") * PERCENT)
-    alike = _equal_coordinates(F.col("signature_a"), F.col("signature_b")) >= MATCHES
-    same = (a["coordinate"] == b["coordinate"]) & (a["value"] == b["value"])
-    return a.join(b, same & (F.col("a") < F.col("b")) & (F.col("in_a") != F.col("in_b")) & near & alike).select("a", "b").distinct()
+def _left_over(postings: DataFrame, posted: DataFrame, sets: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Links between members of one long list that are in different components."""
+    marked = postings.join(grouped.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    open_lists = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    rows = stage(marked.join(open_lists, "token").join(posted.select("class_id", "prefix"), "class_id").join(sets.select("class_id", "signature", "hashes"), "class_id"), "open")
+    one, two = (_side(rows, x, "token", "component", "prefix", "signature", "hashes") for x in "ab")
+    met = (F.col("token_a") == F.col("token_b")) & (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _near(F.col("size_a"), F.col("size_b"))
+    once = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("token_a")
+    return stage(one.join(two, met & once & _alike("a", "b") & _linked("a", "b")).select("a", "b"), "links")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
