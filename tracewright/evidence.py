@@ -1,9 +1,95 @@
-"""Queries over lineage facts."""
+"""Queries over lineage facts: the engine's own SQL texts are the corpus."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewright.operators import rules
+from tracewright.plans import lineage
+from tracewright.streaming import events
+
+#: A small script in the dialect that is analysed; its tables are those of the tests.
+SCRIPT = """
+CREATE TABLE mart.big_orders AS WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice AS price FROM orders WHERE o_totalprice > ${least})
+  SELECT o.o_orderkey, c.c_name, upper(c.c_mktsegment) AS segment, o.price FROM o JOIN customer c ON c.c_custkey = o.o_custkey;
+CREATE TABLE mart.lines AS SELECT l_orderkey AS orderkey, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM lineitem GROUP BY l_orderkey;
+INSERT INTO mart.report (segment, name, revenue) SELECT b.segment, b.c_name, l.revenue FROM mart.big_orders b LEFT JOIN mart.lines l ON l.orderkey = b.o_orderkey
+  UNION ALL SELECT 'none', s_name, s_acctbal FROM supplier;
+INSERT OVERWRITE TABLE ${env}.final SELECT r.*, row_number() OVER (PARTITION BY segment ORDER BY revenue DESC) AS n FROM (SELECT segment, revenue FROM mart.report) r;
+"""
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _facts(spark: SparkSession) -> dict[str, DataFrame]:
+    return lineage.analyse(spark, [("report.sql", SCRIPT)])
+
+
+def lineage_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark)["statements"]
+
+
+def lineage_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark)["columns"]
+
+
+def lineage_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark)["joins"]
+
+
+def lineage_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark)["direct"]
+
+
+def lineage_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark)["recursive"]
+
+
+def lineage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark)["gaps"]
+
+
+def lineage_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.dependencies(_facts(spark)["recursive"])
+
+
+def lineage_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.across_statements(_facts(spark)["recursive"])
+
+
+def lineage_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.key_observations(_facts(spark)["joins"])
+
+
+def sql_relation_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of the script's relations from what writes and reads them."""
+    facts = _facts(spark)
+    names = facts["relations"].groupBy("relation_name", "relation_kind").agg(F.count("*").alias("reads"))
+    writes = facts["statements"].where("target is not null").groupBy(F.col("target").alias("relation_name")).agg(F.count("*").alias("writes"))
+    both = names.join(writes, "relation_name", "full")
+    kind = F.coalesce("relation_kind", F.when(F.col("relation_name").contains("${"), "physical_template").otherwise("physical"))
+    technical, owned = F.col("relation_name").rlike(r"(?i)(tmp|stg|temp)"), F.col("relation_name").startswith("mart.")
+    count = lambda c: F.coalesce(c, F.lit(0))
+    role = rules.relation_role(kind, F.col("relation_name").isNotNull(), count(F.col("writes")), count(F.col("reads")), F.lit(0), technical, owned)
+    return both.select("relation_name", kind.alias("relation_kind"), role.alias("r")).select("relation_name", "relation_kind", "r.*")
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = events.windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return counted.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+
+
+_WINDOWS = """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n_events, round(sum(value), 2) AS total FROM events GROUP BY ALL"""
+
+_ALL = (lineage_statements, lineage_columns, lineage_joins, lineage_direct, lineage_recursive, lineage_gaps, lineage_dependencies, lineage_across, lineage_keys, sql_relation_roles, event_windows)
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"event_windows": _WINDOWS}
