@@ -67,6 +67,7 @@ def _brute(pairs):
 @pytest.mark.parametrize("small", [64, 3])
 def test_near_groups(docs, empty, small, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", small)  # at 3, the way of long lists
+    monkeypatch.setattr(near_dedup, "PART", 2 * small)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs).collect()), key=repr)
     assert got == _brute([(r.doc_id, r.text) for r in docs.collect()])
     if small == 64:

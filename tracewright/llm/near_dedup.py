@@ -35,6 +35,8 @@ SIGNATURE, MATCHES, SHINGLE, PERCENT = 32, 10, 5, 75
 BITMAP_BITS = 1 << 22
 #: Posting lists from this length on are long.
 SMALL = 64
+#: A longer list than this is cut, so that no task has more than PART times the list to compare.
+PART = 4096
 _A = np.array([xxhash.xxh3_64_intdigest(b"a%d" % i) | 1 for i in range(SIGNATURE)], dtype=np.uint64)[:, None]
 _B = np.array([xxhash.xxh3_64_intdigest(b"b%d" % i) for i in range(SIGNATURE)], dtype=np.uint64)[:, None]
 _TAGS = np.arange(SIGNATURE, dtype=np.uint64) << np.uint64(32)
@@ -177,7 +179,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         met = met.unionByName(star.where("class_id <> pivot").select(F.least("class_id", "pivot").alias("a"), F.greatest("class_id", "pivot").alias("b")).distinct())
     links = _confirmed(met.distinct(), posted, sets)
     grouped = stage(components(links), "components")
-    more = _left_over(postings.join(long_lists.select("token"), "token"), posted, sets, grouped)
+    more = _left_over(postings.join(long_lists.select("token", "n"), "token"), posted, sets, grouped)
     if not more.isEmpty():
         grouped = stage(components(links.unionByName(more)), "components")
     first = classes.join(grouped.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
@@ -193,8 +195,13 @@ def _left_over(postings: DataFrame, posted: DataFrame, sets: DataFrame, grouped:
     marked = postings.join(grouped.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     open_lists = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     rows = stage(marked.join(open_lists, "token").join(posted.select("class_id", "prefix"), "class_id").join(sets.select("class_id", "signature", "hashes"), "class_id"), "open")
-    one, two = (_side(rows, x, "token", "component", "prefix", "signature", "hashes") for x in "ab")
-    met = (F.col("token_a") == F.col("token_b")) & (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _near(F.col("size_a"), F.col("size_b"))
+    # a list is cut into parts of PART classes, each of which meets the whole list; the exchange is explicit, so the parts stay as they are
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    n_tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = rows.withColumn("part", F.pmod("class_id", parts).cast("int")).repartition(n_tasks, "token", "part")
+    right = rows.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).repartition(n_tasks, "token", "part")
+    one, two = (_side(df, x, "token", "part", "component", "prefix", "signature", "hashes") for df, x in ((left, "a"), (right, "b")))
+    met = (F.col("token_a") == F.col("token_b")) & (F.col("part_a") == F.col("part_b")) & (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _near(F.col("size_a"), F.col("size_b"))
     once = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("token_a")
     return stage(one.join(two, met & once & _alike("a", "b") & _linked("a", "b")).select("a", "b"), "links")
 
