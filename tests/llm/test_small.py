@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, tokens, toolcalls, toxicity, warc
 
-DOC = "doc_id long, text string, lang string, source string, n_chars long, size long, row_id long, kept string"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, text_key long, row_id long, kept string"
 LONG = " ".join(f"w{i % 977}" for i in range(20_000))
 NEAR = [" ".join(f"a{i}" if i != k * 9 else f"z{k}" for i in range(160)) for k in range(1, 12)]
 TEXTS = [None, "", " ", "a", "a b c d", "a\tb  c\nd", LONG, LONG + " end", "Übung ß 😀 x", *NEAR]

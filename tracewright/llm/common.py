@@ -79,14 +79,14 @@ def kept_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 
     Only the keys of what goes are joined with the texts. Of repeated rows as many stay as are kept, one or all.
     """
-    keys = ["doc_id", "text_key"]
-    per_key = decisions.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("kept").alias("k"))
-    less = stage(per_key.where("k < n").select(*keys, (F.col("k") > 0).alias("one")), "less")
-    rows = docs.withColumn("text_key", text_key())
-    out = rows.join(less, same_keys(rows, less, keys), "left_anti").select(*docs.columns)
-    one = less.where("one")
+    per_key = decisions.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.count_if("kept").alias("k"))
+    less = stage(per_key.where("k < n").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), (F.col("k") > 0).alias("__one")), "less")
+    rows = docs.withColumn("__text_key", text_key())
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
+    out = rows.join(less, same, "left_anti").select(*docs.columns)
+    one = less.where("__one")
     if not one.isEmpty():
-        repeated = rows.join(one, same_keys(rows, one, keys), "left_semi").dropDuplicates(keys)
+        repeated = rows.join(one, same, "left_semi").dropDuplicates(["doc_id", "__text_key"])
         out = out.unionByName(repeated.select(*docs.columns))
     return out
 
@@ -118,13 +118,6 @@ def arrow_batch(rows: Sequence[Sequence], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """Join where a key may hold a third of the left rows.
 
