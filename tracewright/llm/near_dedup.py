@@ -10,9 +10,9 @@ passage in many documents, are mostly skipped. Posted classes meet per token:
 
 1. In lists of fewer than ``SMALL`` classes all pairs meet, so at most SMALL / 2 for each posting.
 2. In longer lists every class meets two pivots of the list, and what is linked so far is merged into components.
-3. Members of a longer list that are still in different components then meet in a join whose condition is the whole test, equal tokens and full
-   sets, taken at their smallest common token alone. It gives nothing but links, so no link between components is lost, and a group
-   of many near copies costs no quadratic number of rows.
+3. Members of a longer list that are still in different components then meet in blocks of two parts of the list, which give nothing but
+   links: equal tokens are counted, and full sets compared, bit by bit, at the pair's first common coordinate alone. No link between components
+   is lost, and a group of many near copies costs no quadratic number of rows.
 
 Links are confirmed on the full sets, which are computed again for the posted classes alone.
 
@@ -23,6 +23,7 @@ Repeated rows fall into one class. A null ``doc_id`` counts as the largest. An e
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ SIGNATURE, MATCHES, SHINGLE, PERCENT = 32, 10, 5, 75
 BITMAP_BITS = 1 << 22
 #: Posting lists from this length on are long.
 SMALL = 64
-#: A longer list than this is cut, so that no task has more than PART times the list to compare.
-PART = 4096
+#: A longer list than this is cut into parts, two of which are compared at once.
+PART = 2048
 _A = np.array([xxhash.xxh3_64_intdigest(b"a%d" % i) | 1 for i in range(SIGNATURE)], dtype=np.uint64)[:, None]
 _B = np.array([xxhash.xxh3_64_intdigest(b"b%d" % i) for i in range(SIGNATURE)], dtype=np.uint64)[:, None]
 _TAGS = np.arange(SIGNATURE, dtype=np.uint64) << np.uint64(32)
@@ -190,20 +191,61 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return in_class.unionByName(alone).select("row_id", "doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _links_between(sizes: np.ndarray, groups: np.ndarray, tokens: np.ndarray, posted: np.ndarray, bits: np.ndarray, coordinate: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Positions (a, b), a in ``left`` and b in ``right``, of links between components, at their first common coordinate alone."""
+    out, both = [], left is right
+    for k, a in enumerate(left.tolist()):
+        b = right[k + 1 :] if both else right
+        b = b[(groups[b] != groups[a]) & (sizes[b] * 100 >= sizes[a] * PERCENT) & (sizes[a] * 100 >= sizes[b] * PERCENT)]
+        if not len(b):
+            continue
+        equal = tokens[b] == tokens[a]
+        first = (equal & posted[b] & posted[a]).argmax(axis=1)
+        keep = (equal.sum(axis=1) >= MATCHES) & (first == coordinate)
+        b = b[keep]
+        common = np.bitwise_count(bits[b] & bits[a]).sum(axis=1, dtype=np.int64)
+        out += [(a, x) for x in b[100 * common >= PERCENT * (sizes[a] + sizes[b] - common)].tolist()]
+    return out
+
+
+def _compare(key: tuple, rows: pa.Table) -> pa.Table:
+    """Links between two parts of one posting list; a group has at most 2 * PART rows."""
+    token, i, j = (x.as_py() for x in key)
+    n = rows.num_rows
+    column = lambda name: rows[name].combine_chunks()
+    part, ids = column("part").to_numpy(), column("class_id").to_numpy()
+    tokens = column("signature").flatten().to_numpy().reshape(n, SIGNATURE)
+    prefix = column("prefix")
+    posted = np.zeros((n, SIGNATURE), dtype=bool)
+    posted[np.repeat(np.arange(n), prefix.value_lengths().to_numpy()), prefix.flatten().to_numpy() >> 32] = True
+    # only shingles that two members share can be common: they get a bit
+    hashes = column("hashes")
+    owner = np.repeat(np.arange(n), hashes.value_lengths().to_numpy())
+    _, slot, uses = np.unique(hashes.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    place = np.cumsum(uses > 1) - 1
+    shared = uses[slot] > 1
+    owner, place = owner[shared], place[slot[shared]]
+    bits = np.zeros((n, int(place.max()) // 64 + 1 if len(place) else 1), dtype=np.uint64)
+    np.bitwise_or.at(bits, (owner, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    left = np.flatnonzero(part == i)
+    right = left if i == j else np.flatnonzero(part == j)
+    found = _links_between(column("n_shingles").to_numpy(), column("component").to_numpy(), tokens, posted, bits, token >> 32, left, right)
+    return pa.table({"a": pa.array([ids[a] for a, _ in found], pa.int64()), "b": pa.array([ids[b] for _, b in found], pa.int64())})
+
+
 def _left_over(postings: DataFrame, posted: DataFrame, sets: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Links between members of one long list that are in different components."""
+    """Links between members of one long list that are in different components.
+
+    A list is dealt into parts of about PART members by hash; each two parts, and each part with itself, meet in a group of their own.
+    """
     marked = postings.join(grouped.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     open_lists = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    rows = stage(marked.join(open_lists, "token").join(posted.select("class_id", "prefix"), "class_id").join(sets.select("class_id", "signature", "hashes"), "class_id"), "open")
-    # a list is cut into parts of PART classes, each of which meets the whole list; the exchange is explicit, so the parts stay as they are
     parts = F.ceil(F.col("n") / PART).cast("int")
-    n_tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = rows.withColumn("part", F.pmod("class_id", parts).cast("int")).repartition(n_tasks, "token", "part")
-    right = rows.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).repartition(n_tasks, "token", "part")
-    one, two = (_side(df, x, "token", "part", "component", "prefix", "signature", "hashes") for df, x in ((left, "a"), (right, "b")))
-    met = (F.col("token_a") == F.col("token_b")) & (F.col("part_a") == F.col("part_b")) & (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _near(F.col("size_a"), F.col("size_b"))
-    once = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("token_a")
-    return stage(one.join(two, met & once & _alike("a", "b") & _linked("a", "b")).select("a", "b"), "links")
+    dealt = marked.join(open_lists, "token").withColumn("part", F.pmod(F.xxhash64("class_id"), parts).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("token", "class_id", "n_shingles", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    rows = dealt.join(posted.select("class_id", "prefix", "signature"), "class_id").join(sets.select("class_id", "hashes"), "class_id")
+    return stage(rows.groupBy("token", "i", "j").applyInArrow(_compare, "a long, b long").distinct(), "links")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
