@@ -154,7 +154,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per document row: row_id, doc_id, text_key, n_shingles, component_id, kept."""
+    """One row per document row: row_id, doc_id, text_key, n_shingles, component, component_id, kept.
+
+    ``component`` is the smallest class of the row's component, null for rows without words. ``component_id``, its smallest
+    doc_id, can be null or belong to several components where ids are null or repeat.
+    """
     bounded_batches(docs.sparkSession)
     scanned = stage(_scanned(docs), "signatures")
     own_classes = scanned.where("n_shingles > 0").groupBy(*_CLASS).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
@@ -185,10 +189,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
         grouped = stage(components(links.unionByName(more)), "components")
     first = classes.join(grouped.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     named = first.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    own = stage(first.join(named, "component").select(*_CLASS, "component_id", "copies"), "named")
+    own = stage(first.join(named, "component").select(*_CLASS, "component", "component_id", "copies"), "named")
     in_class = hot_join(scanned.where("n_shingles > 0").drop("signature"), own, _CLASS, "copies", scanned.count())
-    alone = scanned.where("n_shingles = 0").drop("signature").withColumn("component_id", F.col("doc_id"))
-    return in_class.unionByName(alone).select("row_id", "doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    alone = scanned.where("n_shingles = 0").drop("signature").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    return in_class.unionByName(alone).select("row_id", "doc_id", "text_key", "n_shingles", "component", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _links_between(sizes: np.ndarray, groups: np.ndarray, tokens: np.ndarray, posted: np.ndarray, bits: np.ndarray, coordinate: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -249,9 +253,9 @@ def _left_over(postings: DataFrame, posted: DataFrame, sets: DataFrame, grouped:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near copies, the one of the smallest id."""
+    """``docs`` with one document of each group of near copies: the one of the smallest id, null ids last, and of these the first row."""
     groups = near_groups(docs)
-    # of repeated rows with one id, the first stays
-    first = groups.where("kept").groupBy("doc_id").agg(F.min("row_id").alias("first_row")).withColumnRenamed("doc_id", "id")
-    kept = groups.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_id") == F.col("first_row")), "left")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
+    first = groups.where("component is not null").groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row_id").alias("first_row"))
+    kept = groups.join(first, F.col("row_id") == F.col("first_row"), "left")
     return kept_rows(docs, kept.select("doc_id", "text_key", (F.col("first_row").isNotNull() | (F.col("n_shingles") == 0)).alias("kept")))
