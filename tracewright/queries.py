@@ -344,7 +344,7 @@ _TRADE = "t AS (SELECT DISTINCT 'o' || o_custkey AS a, 's' || l_suppkey AS b, CA
 
 def _trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     q = F.col("l_quantity")
-    both = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 1").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    both = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     edges = both.select(F.concat(F.lit("o"), "o_custkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"), F.when(q > 49, "confirmed").when(q > 48, "probable").otherwise("unknown").alias("confidence")).distinct()
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     return nodes, edges
