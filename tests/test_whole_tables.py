@@ -35,3 +35,18 @@ def test_islands_over_all_orders(spark, saved, name, least):
     at = saved(orders=(orders, "o_orderkey long, o_custkey long"), lineitem=(lines, "l_orderkey long, l_suppkey long, l_quantity long"))
     got = queries.queries()[name](spark, at)
     assert sorted(tuple(r) for r in got.select("node", "component", "degree").collect()) == _islands(orders, lines, least)
+
+
+def test_documents_match_items_by_whole_texts(spark, saved):
+    items = [(1, "the same beginning, one"), (2, "the same beginning, two"), (3, "twice there"), (4, "twice there"), (5, None), (6, "")]
+    docs = [(1, "the same beginning, one"), (2, "the same beginning, other"), (3, "twice there"), (4, None), (5, "the same"), (6, "the same beginning, two"), (7, ""), (8, "")]
+    at = saved(documents=(docs, "doc_id long, text string"), benchmark=(items, "item_id long, text string"))
+    want = []
+    for doc, text in docs:
+        found = sorted({i for i, t in items if t is not None and t == text})
+        status = "matched" if len(found) == 1 else "ambiguous" if found else "unresolved"
+        want.append((doc, len(found), status, found[0] if len(found) == 1 else None))
+    got = queries.queries()["unique_or_ambiguous"](spark, at)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    gaps = queries.queries()["gap_summary"](spark, at).select("gap_kind", "n", "subjects").collect()
+    assert sorted(tuple(r) for r in gaps) == [("ambiguous_item", 1, 1), ("unresolved_item", 3, 3)]

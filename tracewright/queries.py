@@ -203,8 +203,9 @@ def unique_or_ambiguous(spark, sf_dir):
 
 
 def _document_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 8).alias("k"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 8).alias("k"))
+    # whole texts, by digest
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("k"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.sha2("text", 256).alias("k"))
     return joins.unique_or_ambiguous(docs, items, "k", "item_id")
 
 
