@@ -50,3 +50,33 @@ def test_documents_match_items_by_whole_texts(spark, saved):
     assert sorted(tuple(r) for r in got.collect()) == want
     gaps = queries.queries()["gap_summary"](spark, at).select("gap_kind", "n", "subjects").collect()
     assert sorted(tuple(r) for r in gaps) == [("ambiguous_item", 1, 1), ("unresolved_item", 3, 3)]
+
+
+def test_tiers_offer_all_pages(spark, saved):
+    split = lambda url: (None, None) if url is None else (url[8:].partition("/")[0], "/" + url[8:].partition("/")[2])
+    pages = [(1, "https://a/x"), (2, "https://a/y"), (3, "https://b/x"), (4, "https://c/z"), (5, "https://a/x"), (6, None), (7, "https://d/w"), (8, "https://d/v")]
+    pages += [(9, "https://e/x"), (9, "https://f/u"), (9, "https://d/w"), (4, "https://c/z"), (None, "https://a/x"), (10, "https://f/q"), (11, "https://g/r"), (11, "https://h/s"), (12, "https://h/s")]
+    at = saved(pages=(pages, "page_id long, url string"))
+    want = []
+    for page, _ in pages:
+        own = [split(u) for p, u in pages if p == page and page is not None]
+        tiers = []
+        for take in (lambda x: x, lambda x: x[0], lambda x: x[1]):
+            tiers.append(sorted({p for p, u in pages if p not in (None, page) and u is not None and take(split(u)) in map(take, own)}))
+        tier = next((k for k, x in enumerate(tiers, 1) if x), None)
+        found = tiers[tier - 1] if tier else []
+        want.append((page, tier, len(found), ("unresolved", "matched", "ambiguous")[min(len(found), 2)], found[0] if len(found) == 1 else None))
+    got = queries.queries()["tiered_lookup"](spark, at).select("page_id", "tier", "candidate_count", "status", "target_id")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr) and {w[3] for w in want} == {"unresolved", "matched", "ambiguous"}
+
+
+def test_all_suppliers_override(spark, saved):
+    at = saved(supplier=([(i, f"s{i}") for i in range(1, 5)], "s_suppkey long, s_name string"), customer=([(i, f"c{i}") for i in range(3, 8)], "c_custkey long, c_name string"))
+    got = queries.queries()["publication_inheritance"](spark, at)
+    assert sorted(tuple(r) for r in got.collect()) == [(i, f"s{i}", "own") for i in range(1, 5)] + [(i, f"c{i}", "inherited") for i in range(5, 8)]
+
+
+def test_declared_keys_need_columns_not_rows(spark, tmp_path):
+    for name, schema, want in (("all", "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long", ["part", "pk"]), ("less", "l_orderkey long, l_partkey long", ["part"])):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        assert sorted(r.key_id for r in queries.queries()["declared_key_match"](spark, f"{tmp_path}/{name}").collect()) == want

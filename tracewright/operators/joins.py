@@ -77,6 +77,32 @@ def first_tier(facts: DataFrame, fact_id: str, tiers: Sequence[tuple[str, DataFr
     return found.join(best, [fact_id, "tier"])
 
 
+def first_tier_counts(facts: DataFrame, fact_id: str, tiers: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+    """``verdict`` over ``first_tier`` where the facts themselves are the targets, each for all others.
+
+    Candidates are counted per key before the join, so a key of many facts makes no pairs. Only ids that come with several
+    keys are paired, as their candidates can overlap.
+    """
+    columns = list(dict.fromkeys(c for _, keys in tiers for c in keys))
+    known = facts.where(F.col(fact_id).isNotNull()).select(fact_id, *columns).distinct()
+    n_keys = known.groupBy(fact_id).agg(F.count("*").alias("_n"))
+    once = known.join(n_keys.where("_n = 1").select(fact_id), fact_id, "left_semi")
+    several = known.join(n_keys.where("_n > 1").select(fact_id), fact_id, "left_semi")
+    hits = None
+    for rank, (name, keys) in enumerate(tiers, 1):
+        per_key = known.groupBy(*keys).agg(F.count_distinct(fact_id).alias("_of_key"), F.min(fact_id).alias("_least"), F.max(fact_id).alias("_most")).where("_of_key > 1")
+        other = F.when(F.col("_of_key") == 2, F.when(F.col("_least") == F.col(fact_id), F.col("_most")).otherwise(F.col("_least")))
+        hit = once.join(per_key, list(keys)).select(fact_id, F.struct(F.lit(rank).alias("tier"), F.lit(name).alias("tier_name"), (F.col("_of_key") - 1).alias("candidate_count"), other.alias("target_id")).alias("_hit"))
+        hits = hit if hits is None else hits.unionByName(hit)
+    best = hits.groupBy(fact_id).agg(F.min("_hit").alias("_hit")).select(fact_id, "_hit.*")
+    targets = known.withColumnRenamed(fact_id, "_target")
+    paired = first_tier(several, fact_id, [(name, targets.select("_target", *keys).distinct(), keys) for name, keys in tiers], "_target", F.col(fact_id) == F.col("_target"))
+    paired = verdict(paired, several.select(fact_id).distinct(), fact_id).where("tier is not null").drop("status")
+    joined = facts.select(fact_id).join(best.unionByName(paired), fact_id, "left")
+    n = F.coalesce("candidate_count", F.lit(0).cast("long"))
+    return joined.select(fact_id, "tier", "tier_name", n.alias("candidate_count"), F.when(n == 0, "unresolved").when(n == 1, "matched").otherwise("ambiguous").alias("status"), "target_id")
+
+
 def verdict(candidates: DataFrame, facts: DataFrame, fact_id: str) -> DataFrame:
     """One row per fact: tier, candidate_count, status, and the target if it is unique."""
     per_fact = candidates.groupBy(fact_id).agg(F.min("tier").alias("tier"), F.min("tier_name").alias("tier_name"), F.count("*").alias("candidate_count"), F.min("target_id").alias("_only"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import ids, search
 from tracewright.operators import aggregates, delta, graph, joins, ranking, rules
-from tracewright.plans import paging
+from tracewright.plans import lineage, paging
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -250,16 +250,22 @@ _TIERS = """WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url,
 def tiered_lookup(spark, sf_dir):
     raw = F.regexp_replace(F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "")
     facts = table(spark, sf_dir, "pages").select("page_id", ids.url_authority(F.col("url")).alias("host"), raw.alias("path"))
-    targets = facts.where("page_id % 10 = 0").withColumnRenamed("page_id", "target")
-    tiers = [("host_and_path", targets, ["host", "path"]), ("host", targets.drop("path"), ["host"]), ("path", targets.drop("host"), ["path"])]
-    found = joins.first_tier(facts, "page_id", tiers, "target", F.col("page_id") == F.col("target"))
-    return joins.verdict(found, facts, "page_id")
+    return joins.first_tier_counts(facts, "page_id", [("host_and_path", ["host", "path"]), ("host", ["host"]), ("path", ["path"])])
+
+
+#: What is observed for ``declared_key_match``: lines with themselves and with their parts.
+_KEY_JOINS = """SELECT p.p_name, b.l_quantity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber
+ JOIN part p ON p.p_partkey = a.l_partkey;"""
 
 
 @query("""WITH u AS (SELECT DISTINCT 'lineitem' AS rel, unnest(['l_orderkey', 'l_linenumber', 'l_partkey']) AS c), d AS (SELECT * FROM (VALUES ('lineitem', 'pk'), ('lineitem', 'part'), ('lineitem', 'supp')) v(rel, key_id))
  SELECT rel, key_id FROM d WHERE key_id IN ('pk', 'part')""")
 def declared_key_match(spark, sf_dir):
-    pairs = table(spark, sf_dir, "lineitem").limit(1).select(F.lit("lineitem").alias("rel"), F.explode(F.array(F.lit("l_orderkey"), F.lit("l_linenumber"), F.lit("l_partkey"))).alias("column"))
+    """The joins of a script are read from its lineage; only columns that the table has count as used."""
+    columns = table(spark, sf_dir, "lineitem").columns
+    joined = lineage.analyse(spark, [("keys.sql", _KEY_JOINS)])["joins"].where("operator = '='")
+    ends = joined.select(F.explode(F.array("left_column", "right_column")).alias("used"))
+    pairs = ends.select(F.substring_index("used", ".", 1).alias("rel"), F.substring_index("used", ".", -1).alias("column")).where((F.col("rel") == "lineitem") & F.col("column").isin(columns))
     declared = spark.createDataFrame([("lineitem", "pk", ["l_orderkey", "l_linenumber"]), ("lineitem", "part", ["l_partkey"]), ("lineitem", "supp", ["l_partkey", "l_suppkey"])], "rel string, key_id string, key_columns array<string>")
     return joins.covered_keys(pairs, declared, ["rel"]).select("rel", "key_id")
 
@@ -312,7 +318,7 @@ def coverage_delta(spark, sf_dir):
 
 @query("""SELECT s_suppkey AS slot, s_name AS product, 'own' AS origin FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT c_custkey, c_name, 'inherited' FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0)""")
 def publication_inheritance(spark, sf_dir):
-    own = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("slot"), F.col("s_name").alias("product"))
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("slot"), F.col("s_name").alias("product"))
     base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("slot"), F.col("c_name").alias("product"))
     return delta.inherit(base, own, "slot")
 
