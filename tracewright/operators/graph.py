@@ -5,6 +5,8 @@ Loops keep their state as staged tables; see ``checkpointed``.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +26,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def closure(edges: DataFrame, source: str, target: str, max_depth: int = 100) -> DataFrame:
+def closure(edges: DataFrame, source: str, target: str) -> DataFrame:
     """(start, node, depth): everything reachable, with the smallest depth; cycles end where a node was met before."""
     steps = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).where("next is not null").distinct()
     frontier = steps.select(F.col("node").alias("start"), F.col("next").alias("node")).distinct().withColumn("depth", F.lit(1))
     reached = checkpointed(frontier)
     frontier = reached
-    for depth in range(2, max_depth + 1):
+    for depth in count(2):
         found = frontier.join(steps, "node").select("start", F.col("next").alias("node")).distinct()
         frontier = checkpointed(found.join(reached, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
