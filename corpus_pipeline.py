@@ -45,7 +45,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing to target weights", mix),
 ]
 
-#: SQL cannot fit the classifier; tests compare run() with a brute-force version.
+#: SQL cannot fit the classifier, and no test calls run(); tests hold stages on small tables.
 ORACLE_SQL: str | None = None
 
 
