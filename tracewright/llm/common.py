@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextvars
+import functools
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,19 +19,22 @@ HOT_SHARE = 1000
 BATCH_ROWS = 256
 
 
+#: Removes shuffle files when the query that wrote them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_staged: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("staged", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent, a local session gets a temporary folder; any other master
-    falls back to the warehouse, which is shared by definition.
+    Where the setting is absent, a local session gets a temporary folder; any other master has to name one.
     """
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if (conf.get("spark.master") or "").startswith("local["):
-            base = tempfile.mkdtemp(prefix="staged-")
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir")
+        if not (conf.get("spark.master") or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="staged-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -42,14 +47,53 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts lineage, so a lost executor costs a re-read and not a recomputation, and freezes
-    values such as generated ids.
+    values such as generated ids. The shuffle files behind it have no more use and go at once.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # a DataFrame has the setting of its making
+    finally:
+        spark.conf.set(CLEANUP, before)
+    if (own := _staged.get()) is not None:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: Sequence[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Remove staged tables that have no reader left."""
+    for df in staged:
+        remove(df.sparkSession, sorted({path.rsplit("/", 1)[0] for path in df.inputFiles()}))
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator's result is staged; what else it staged on the way is removed, after errors as well."""
+
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        outer = _staged.get()
+        token = _staged.set(own := [])
+        try:
+            result = stage(operator(df, *args, **options), operator.__name__)
+            kept = own.pop()
+        finally:
+            _staged.reset(token)
+            remove(df.sparkSession, own)
+        if outer is not None:
+            outer.append(kept)
+        return result
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
