@@ -159,7 +159,10 @@ def test_isotonic():
 
 def test_grammar_contexts():
     g = toxicity.Grammar({"idiot": 3.0, "lowei*": 2.0})
-    assert [c for c, _ in g.matches("You idiot. He said idiot, not an idiot; loweichen")[1]] == [4, 6, 1, 0]
+    insult, aimed, reported, negated = toxicity.IS_INSULT, toxicity.IS_AIMED, toxicity.IS_REPORTED, toxicity.IS_NEGATED
+    found = g.matches("You idiot. He said idiot, not an idiot; loweichen")[1]
+    assert [marks for marks, _ in found] == [insult | aimed, insult | aimed | reported, insult | negated, insult]
+    assert [weight for _, weight in found] == [3.0, 3.0, 1.5, 2.0]
     assert g.matches("nothing here") == (2, []) and g.matches(None) == (0, [])
 
 

@@ -82,7 +82,7 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         outer = _staged.get()
         token = _staged.set(own := [])
         try:
-            result = stage(operator(df, *args, **options), operator.__name__)
+            result = stage(operator(df, *args, **options), operator.__name__.strip("<>"))
             kept = own.pop()
         finally:
             _staged.reset(token)
@@ -121,7 +121,8 @@ def text_key(text: str = "text") -> Column:
 def kept_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``decisions`` (doc_id, text_key, kept; one row each) keeps.
 
-    Only the keys of what goes are joined with the texts. Of repeated rows as many stay as are kept, one or all.
+    Only the keys of what goes are joined with the texts. Of repeated rows as many stay as are kept, one or all; if they differ in other columns,
+    the one whose other columns come first as JSON.
     """
     per_key = decisions.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.count_if("kept").alias("k"))
     less = stage(per_key.where("k < n").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), (F.col("k") > 0).alias("__one")), "less")
@@ -130,8 +131,9 @@ def kept_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     out = rows.join(less, same, "left_anti").select(*docs.columns)
     one = less.where("__one")
     if not one.isEmpty():
-        repeated = rows.join(one, same, "left_semi").dropDuplicates(["doc_id", "__text_key"])
-        out = out.unionByName(repeated.select(*docs.columns))
+        others = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+        repeated = rows.join(one, same, "left_semi").groupBy("doc_id", "__text_key").agg(F.min_by(F.struct(*docs.columns), others).alias("__row"))
+        out = out.unionByName(repeated.select("__row.*"))
     return out
 
 
@@ -151,7 +153,7 @@ def in_bitmap(bitmap: bytes, hashes: np.ndarray) -> np.ndarray:
     return (marks[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
 
 
-_ARROW = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+_ARROW = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
 
 
 def arrow_batch(rows: Sequence[Sequence], ddl: str) -> pa.RecordBatch:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, kept_rows, stage, text_key, with_row_id
+from .common import hot_join, kept_rows, stage, text_key, tidy, with_row_id
 
 #: Where a chunk may end: behind a sentence or clause mark, a space and a letter of one class.
 BOUNDARY = r"(?<=[.,;:!?] [a-hA-H])"
@@ -31,6 +31,7 @@ def chunks_of(text: Column, least: int, most: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+@tidy
 def exact_groups(docs: DataFrame, least: int = 512, most: int = 8192) -> DataFrame:
     """One row per document row: row_id, doc_id, keep_id, group_size, kept, text_sha256, n_chunks, text_key."""
     text = with_row_id(docs.select("doc_id", "text", text_key().alias("text_key"))).withColumn("text", normalised(F.col("text")))

@@ -2,7 +2,7 @@
 
 Every whole text becomes its set of distinct five-word shingles; documents with equal sets form a class, so copies cost
 one entry. A class has ``SIGNATURE`` MinHash coordinates. Two sets with Jaccard 0.75 agree on 24 of 32 on average, and on
-fewer than ``MATCHES`` = 10 with probability 2e-8, so pairs with at least MATCHES equal coordinates are the candidates.
+fewer than ``MATCHES`` = 10 with probability 3.4e-8, so pairs with at least MATCHES equal coordinates are the candidates.
 
 Coordinate-value pairs (tokens) are ordered by rarity. Classes with MATCHES equal tokens share one among the rarest
 ``SIGNATURE - MATCHES + 1`` of each (prefix); tokens that no other class has need no posting, and common ones, such as those of a
@@ -10,9 +10,10 @@ passage in many documents, are mostly skipped. Posted classes meet per token:
 
 1. In lists of fewer than ``SMALL`` classes all pairs meet, so at most SMALL / 2 for each posting.
 2. In longer lists every class meets two pivots of the list, and what is linked so far is merged into components.
-3. Members of a longer list that are still in different components then meet in blocks of two parts of the list, which give nothing but
-   links: equal tokens are counted, and full sets compared, bit by bit, at the pair's first common coordinate alone. No link between components
-   is lost, and a group of many near copies costs no quadratic number of rows.
+3. Members of a longer list that are still in different components then meet: those outside the list's largest component with each other and with
+   those inside, in blocks of two parts of the list, which give nothing but links: equal tokens are counted, and full sets compared, bit by bit, at
+   the pair's first common coordinate alone. No link between components is lost. A group of many near copies, whatever its outsiders, costs rows in
+   proportion to its members; m outsiders of n members cost m n / PART rows.
 
 Links are confirmed on the full sets, which are computed again for the posted classes alone.
 
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, bitmap_of, bounded_batches, hot_join, in_bitmap, kept_rows, stage, text_key, with_row_id
+from .common import arrow_batch, bitmap_of, bounded_batches, hot_join, in_bitmap, kept_rows, stage, text_key, tidy, unstage, with_row_id
 from .words import mixed, run_hashes, word_hashes
 
 SIGNATURE, MATCHES, SHINGLE, PERCENT = 32, 10, 5, 75
@@ -139,12 +140,14 @@ def components(edges: DataFrame) -> DataFrame:
     star = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "stars")
     seen = None
     while True:
+        before = star
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "stars")
+        unstage(before)
         state = star.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             break
@@ -153,6 +156,7 @@ def components(edges: DataFrame) -> DataFrame:
     return own.unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+@tidy
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per document row: row_id, doc_id, text_key, n_shingles, component, component_id, kept.
 
@@ -175,8 +179,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     postings = stage(posted.select("class_id", "n_shingles", F.explode("prefix").alias("token")), "postings")
     lists = stage(postings.groupBy("token").agg(F.count("*").alias("n"), F.min("class_id").alias("first"), F.min(F.col("class_id").bitwiseXOR(F.lit(_MIX))).bitwiseXOR(F.lit(_MIX)).alias("second")).where("n > 1"), "lists")
     short = postings.join(lists.where(F.col("n") < SMALL).select("token"), "token")
-    one, two = _side(short, "a", "token"), _side(short, "b", "token")
-    met = one.join(two, (F.col("token_a") == F.col("token_b")) & (F.col("a") < F.col("b")) & _near(F.col("size_a"), F.col("size_b"))).select("a", "b")
+    members = short.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("class_id", "n_shingles"))).alias("members"))  # fewer than SMALL
+    later = members.select(F.posexplode("members").alias("at", "one"), "members").select("one", F.explode(F.slice("members", F.col("at") + 2, F.size("members"))).alias("two"))
+    met = later.where(_near(F.col("one.n_shingles"), F.col("two.n_shingles"))).select(F.col("one.class_id").alias("a"), F.col("two.class_id").alias("b"))
     long_lists = stage(lists.where(F.col("n") >= SMALL), "long")
     n_postings = postings.count()
     for pivot in ("first", "second"):
@@ -238,15 +243,23 @@ def _compare(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def _left_over(postings: DataFrame, posted: DataFrame, sets: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Links between members of one long list that are in different components.
+    """Links between members of one long list (postings with its length ``n``) that are in different components.
 
-    A list is dealt into parts of about PART members by hash; each two parts, and each part with itself, meet in a group of their own.
+    A list is dealt into parts of about PART members by hash, first those of all but its largest component, then those of the largest. Each two parts, and
+    each part with itself, meet in a group of their own, unless both are of the largest component.
     """
     marked = postings.join(grouped.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    open_lists = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    parts = F.ceil(F.col("n") / PART).cast("int")
-    dealt = marked.join(open_lists, "token").withColumn("part", F.pmod(F.xxhash64("class_id"), parts).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    marked = stage(marked, "marked")
+    shares = marked.groupBy("token", "component").agg(F.count("*").alias("m"))
+    lists = shares.groupBy("token").agg(F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("components")).where("components > 1")
+    parts = lambda m: F.ceil(m / PART).cast("int")
+    lists = lists.select("token", "n", F.col("most.component").alias("main"), parts(F.col("n") - F.col("most.m")).alias("others"), parts(F.col("most.m")).alias("mains"))
+    lists = stage(lists, "open")
+    is_main = F.col("component") == F.col("main")
+    slot = lambda count: F.pmod(F.xxhash64("class_id"), F.col(count)).cast("int")
+    dealt = hot_join(marked.drop("n"), lists, ["token"], "n", marked.count())
+    dealt = dealt.withColumn("part", F.when(is_main, F.col("others") + slot("mains")).otherwise(slot("others")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
     dealt = dealt.select("token", "class_id", "n_shingles", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     rows = dealt.join(posted.select("class_id", "prefix", "signature"), "class_id").join(sets.select("class_id", "hashes"), "class_id")
     return stage(rows.groupBy("token", "i", "j").applyInArrow(_compare, "a long, b long").distinct(), "links")

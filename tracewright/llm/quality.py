@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_batch, bounded_batches, kept_rows, stage, text_key, with_row_id
+from .common import arrow_batch, bounded_batches, stage, text_key, tidy, unstage, with_row_id
 
 TRAIN_ROWS = 30_000
 FEATURES, RIDGE, WIDTH, BINS = 256, 1e-3, 4.0, 200
@@ -168,7 +169,14 @@ def _sums(training: DataFrame, f) -> np.ndarray:
 
 def fit(training: DataFrame) -> Model:
     """``training``: stats array<double>, label double; at most TRAIN_ROWS rows."""
-    training = stage(training.select("stats", "label").coalesce(TRAIN_PARTS), "training").coalesce(TRAIN_PARTS)
+    staged = stage(training.select("stats", "label").coalesce(TRAIN_PARTS), "training")
+    try:
+        return _fitted(staged.coalesce(TRAIN_PARTS))
+    finally:
+        unstage(staged)
+
+
+def _fitted(training: DataFrame) -> Model:
     d = N_STATISTICS
     n, positive = training.agg(F.count("*"), F.sum("label")).first()
     rng = np.random.default_rng(7)
@@ -213,6 +221,7 @@ def labelled_sample(labels: DataFrame, label: str, parts: int, left_out: int, ro
     return usable.select("doc_id", F.col(label).cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
 
 
+@tidy
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, left_out: int = 2, threshold: float = 0.7) -> DataFrame:
     """One row per document row: row_id, doc_id, text_key, held_out, score, predicted."""
     bounded_batches(docs.sparkSession)
@@ -230,6 +239,18 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: i
     return scored.withColumn("held_out", fold("doc_id", parts) == left_out).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def drop_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those that the classifier rejects."""
-    return kept_rows(docs, quality(docs, labels).select("doc_id", "text_key", (F.col("predicted") == 1).alias("kept")))
+def drop_poor(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, left_out: int = 2, threshold: float = 0.7) -> DataFrame:
+    """``docs`` without those that the classifier rejects.
+
+    A row is scored where it is read, so no text is shuffled.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    sample = F.broadcast(labelled_sample(labels, label, parts, left_out, TRAIN_ROWS))  # TRAIN_ROWS rows at most
+    shared = spark.sparkContext.broadcast(fit(described(docs.select("doc_id", "text").join(sample.select("doc_id").distinct(), "doc_id")).join(sample, "doc_id")))
+
+    def good(texts: pa.Array) -> pa.Array:
+        stats = np.array([statistics(x) for x in texts.to_pylist()]).reshape(-1, N_STATISTICS)
+        return pa.array(shared.value.score(stats) >= threshold, pa.bool_())
+
+    return docs.where(F.arrow_udf(good, T.BooleanType())("text"))

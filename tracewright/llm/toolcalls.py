@@ -1,13 +1,17 @@
 """Tool-call linking for chat data.
 
-Calls and results are hash-joined by (conversation, identifier). Each call may name one earlier call that it needs
-(``after``); calls form a forest, ordered by pointer doubling: ``depth`` is the number of calls before it on its chain and ``ready`` the
-latest turn on the chain, so sorting by (ready, depth, turn) puts every call behind what it needs and every result behind its call.
-Arguments are checked against a JSON schema per tool and serialised as canonical JSON (sorted keys, no spaces, shortest numbers).
-
-A repeated identifier belongs to its first call (by turn, then place); later ones are ``duplicate``. A result without call is ``orphan``,
-a call without result ``unanswered``. ``after`` that names no call counts as absent; calls on a cycle have depth and ready null and status ``cyclic``. Null identifiers link
-with nothing. Arguments that are no JSON object are invalid and have no canonical form. Null texts are empty. An empty table gives an empty result.
+Calls and results are hash-joined by (conversation, identifier). Each call may name earlier calls that it needs (``after``), so calls form a
+graph: ``depth`` is the number of calls on the longest chain before it and ``ready`` the latest turn of all that it needs and its own, so sorting by
+(ready, depth, turn) puts every call behind what it needs and every result behind its call. The order is found in rounds: what needs a finished call takes over
+its depth, and what needs a call that waits for one other waits for that one instead. Chains halve in each round; where calls wait for several open
+ones, each such level takes a round of its own. Arguments are checked against a JSON schema per tool and serialised as canonical JSON (sorted
+keys, no spaces, shortest numbers).
+
+A repeated identifier belongs to its first call (by turn, then place); later ones are ``duplicate``, and so is a call without conversation or identifier. A
+result without call is ``orphan``, a call without result ``unanswered``. ``after`` that names no call counts as absent; calls on a cycle, and those that
+need one, have depth and ready null and status ``cyclic``. Null identifiers link with nothing; a null turn comes first. Arguments that are no JSON are
+invalid and have no canonical form; a half surrogate pair, which UTF-8 cannot hold, is written as its escape. A message that is too deeply nested to be read has no
+calls. Null texts are empty. Texts may be of any length. Other columns are not read, so clashing names do no harm. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, bounded_batches, hot_join, stage, with_row_id
+from .common import arrow_batch, bounded_batches, hot_join, stage, tidy, unstage, with_row_id
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
@@ -36,14 +40,24 @@ def canonical(value: object) -> str:
             return {k: plain(v) for k, v in x.items()}
         return [plain(v) for v in x] if isinstance(x, list) else x
 
-    return json.dumps(plain(value), sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+    return _utf8(json.dumps(plain(value), sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False))
+
+
+def _utf8(text: str) -> str:
+    """``text`` with half surrogate pairs as their escapes."""
+    return text.encode("utf-8", "backslashreplace").decode()
+
+
+def _text(value: object) -> str | None:
+    return None if value is None else _utf8(value if isinstance(value, str) else json.dumps(value))
 
 
 def violations(value: object, schema: Mapping, path: str = "$") -> Iterator[str]:
     """Where ``value`` breaks ``schema``: type, enum, required, properties, additionalProperties, items, and bounds."""
     kind = schema.get("type")
     if kind in ("integer", "number"):
-        good = isinstance(value, int | float) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+        whole = isinstance(value, int) or isinstance(value, float) and value.is_integer()
+        good = isinstance(value, int | float) and not isinstance(value, bool) and (kind == "number" or whole)
     else:
         good = kind is None or isinstance(value, _TYPES[kind])
     if not good:
@@ -70,7 +84,26 @@ def violations(value: object, schema: Mapping, path: str = "$") -> Iterator[str]
             yield f"{path}: out of bounds"
 
 
-_EVENT = "row_id long, kind string, place int, call_id string, after string, name string, arguments string, content string"
+_EVENT = "row_id long, kind string, place int, call_id string, after array<string>, name string, arguments string, content string"
+
+
+def _events(role: str | None, text: str | None) -> list[tuple]:
+    """(kind, place, call_id, after, name, arguments, content) of one message."""
+    if role not in ("assistant", "tool") or not (text or "").lstrip().startswith("{"):
+        return []
+    try:
+        body = json.loads(text)
+        if role == "tool":
+            return [] if body.get("tool_call_id") is None else [("result", 0, _text(body["tool_call_id"]), None, None, None, _text(body.get("content")))]
+        calls = body.get("tool_calls")
+        out = []
+        for i, c in enumerate(x for x in calls if isinstance(x, dict)) if isinstance(calls, list) else ():
+            after = c.get("after")
+            after = [_text(x) for x in (after if isinstance(after, list) else [after]) if x is not None]
+            out.append(("call", i, _text(c.get("id")), after, _text(c.get("name")), _text(c.get("arguments")), None))
+        return out
+    except (ValueError, RecursionError):
+        return []
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
@@ -79,20 +112,8 @@ def parse_messages(messages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for row, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    body = json.loads(text) if (text or "").lstrip().startswith("{") else None
-                except ValueError:
-                    body = None
-                if role == "assistant" and body and isinstance(body.get("tool_calls"), list):
-                    for i, c in enumerate(x for x in body["tool_calls"] if isinstance(x, dict)):
-                        arguments = c.get("arguments")
-                        out.append((row, "call", i, *(None if c.get(k) is None else str(c[k]) for k in ("id", "after", "name")), arguments if isinstance(arguments, str) else json.dumps(arguments), None))
-                elif role == "tool" and body and body.get("tool_call_id") is not None:
-                    content = body.get("content")
-                    out.append((row, "result", 0, str(body["tool_call_id"]), None, None, None, content if isinstance(content, str) else json.dumps(content)))
-            yield arrow_batch(out, _EVENT)
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            yield arrow_batch([(row, *event) for row, role, text in rows for event in _events(role, text)], _EVENT)
 
     rows = stage(with_row_id(messages.select("conv_id", "turn", "role", "text")), "messages")
     events = rows.select("row_id", "role", "text").mapInArrow(run, _EVENT)
@@ -110,43 +131,56 @@ def check_arguments(calls: DataFrame, schemas: Mapping[str, Mapping]) -> DataFra
                 try:
                     value = json.loads(text or "")
                     form = canonical(value)
+                    found = [f"unknown tool {name}"] if name not in schemas else list(violations(value, schemas[name]))
                 except (ValueError, RecursionError):
-                    out.append((event, None, "$: not JSON"))
-                    continue
-                found = [f"unknown tool {name}"] if name not in schemas else list(violations(value, schemas[name]))
-                out.append((event, form, "; ".join(found) or None))
+                    form, found = None, ["$: not JSON"]
+                out.append((event, form, _utf8("; ".join(found)) or None))
             yield arrow_batch(out, out_type)
 
     return calls.select("event_id", "name", "arguments").mapInArrow(run, out_type)
 
 
-def _ordered(calls: DataFrame) -> DataFrame:
-    """(event_id, depth, ready) of first calls (event_id, conv_id, call_id, after, turn) by pointer doubling."""
-    named = calls.select("conv_id", "call_id", F.col("event_id").alias("up"))
-    needs = calls.where(F.col("after").isNotNull()).select("event_id", "conv_id", F.col("after").alias("call_id"))
+def _needs(calls: DataFrame) -> DataFrame:
+    """(child, parent, dist) of calls that need others; ``dist`` is the number of calls from the one to the other."""
+    needs = calls.select(F.col("event_id").alias("child"), "conv_id", F.explode("after").alias("call_id")).distinct()
     uses = needs.groupBy("conv_id", "call_id").agg(F.count("*").alias("uses"))
-    named = stage(named.join(uses, ["conv_id", "call_id"]), "named")
-    up = hot_join(needs, named, ["conv_id", "call_id"], "uses", calls.count()).select("event_id", "up")
-    state = stage(calls.join(up, "event_id", "left").select("event_id", F.col("turn").alias("ready"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), "up"), "chain")
-    total, reach = state.count(), 1
-    while reach <= 2 * total:
-        open_rows = state.where(F.col("up").isNotNull())
-        n_open = open_rows.count()
-        if not n_open:
-            break
-        targets = open_rows.groupBy("up").agg(F.count("*").alias("uses"))
-        above = state.select(F.col("event_id").alias("up"), F.col("ready").alias("ready_up"), F.col("depth").alias("depth_up"), F.col("up").alias("up_up"))
-        above = stage(above.join(targets, "up"), "above")
-        moved = hot_join(open_rows, above, ["up"], "uses", n_open)
-        moved = moved.select("event_id", F.greatest("ready", "ready_up").alias("ready"), (F.col("depth") + F.col("depth_up")).alias("depth"), F.col("up_up").alias("up"))
-        state = stage(state.where(F.col("up").isNull()).unionByName(moved), "chain")
-        reach *= 2
-    cyclic = F.col("up").isNotNull()
-    return state.select("event_id", F.when(~cyclic, F.col("ready")).alias("ready"), F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("cyclic"))
+    named = stage(calls.select("conv_id", "call_id", F.col("event_id").alias("parent")).join(uses, ["conv_id", "call_id"]), "named")
+    met = hot_join(needs, named, ["conv_id", "call_id"], "uses", calls.count())
+    return met.select("child", "parent", F.lit(1).cast("long").alias("dist"))
 
 
+def _ordered(calls: DataFrame) -> DataFrame:
+    """(event_id, depth, ready, cyclic) of first calls (event_id, conv_id, call_id, after, turn)."""
+    total = calls.count()
+    edges = stage(_needs(calls), "needs")
+    state = stage(calls.select("event_id", F.lit(0).cast("long").alias("depth"), F.col("turn").alias("ready"), F.lit(False).alias("cyclic")), "order")
+    while n_edges := edges.count():
+        waits = edges.groupBy(F.col("child").alias("event_id")).agg(F.count("*").alias("n"), F.first("parent").alias("up"), F.first("dist").alias("up_dist"))
+        uses = edges.groupBy(F.col("parent").alias("event_id")).agg(F.count("*").alias("uses"))
+        above = stage(state.join(uses, "event_id").join(waits, "event_id", "left").withColumnRenamed("event_id", "parent"), "above")
+        moved = hot_join(edges, above, ["parent"], "uses", n_edges)
+        onward = F.when(F.col("n") == 1, F.struct(F.col("up").alias("parent"), (F.col("dist") + F.col("up_dist")).alias("dist"))).when(F.col("n") > 1, F.struct("parent", "dist"))
+        moved = moved.select("child", "depth", "ready", "cyclic", "dist", F.when(~F.col("cyclic"), onward).alias("next"), (F.coalesce("n", F.lit(0)) < 2).alias("moves"))
+        # a way longer than all calls, or back to its start, is a cycle
+        round_trip = F.coalesce((F.col("next.parent") == F.col("child")) | (F.col("next.dist") > total), F.lit(False))
+        moved = stage(moved.withColumn("cyclic", F.col("cyclic") | round_trip), "moved")
+        stuck = moved.where("moves").isEmpty()
+        taken = moved.groupBy(F.col("child").alias("event_id")).agg(
+            F.max(F.col("depth") + F.col("dist")).alias("from_depth"), F.max("ready").alias("from_ready"), (F.bool_or("cyclic") | F.lit(stuck)).alias("from_cyclic")
+        )
+        now = state.join(taken, "event_id", "left")
+        now = now.select("event_id", F.greatest("depth", "from_depth").alias("depth"), F.greatest("ready", "from_ready").alias("ready"), (F.col("cyclic") | F.coalesce("from_cyclic", F.lit(False))).alias("cyclic"))
+        before, state = state, stage(now, "order")
+        left = moved.where(F.col("next").isNotNull() & ~F.lit(stuck)).groupBy("child", F.col("next.parent").alias("parent")).agg(F.max("next.dist").alias("dist"))
+        left = left.join(state.where("cyclic").select(F.col("event_id").alias("child")), "child", "left_anti")
+        older, edges = edges, stage(left, "needs")
+        unstage(before, older, above, moved)
+    return state.select("event_id", F.when(~F.col("cyclic"), F.col("ready")).alias("ready"), F.when(~F.col("cyclic"), F.col("depth")).alias("depth"), "cyclic")
+
+
+@tidy
 def link(events: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
-    """``events`` (conv_id, turn, kind, place, call_id, after, name, arguments, content), each with status, ready, depth, canonical, errors, n_results.
+    """``events`` (conv_id, turn, kind, place, call_id, after, name, arguments, content; ``after`` is an array), each with status, ready, depth, canonical, errors, n_results.
 
     ``ready``, ``depth``, ``kind`` and ``turn`` sort the events of a conversation topologically.
     """
@@ -201,7 +235,7 @@ def turns_as_events(messages: DataFrame) -> DataFrame:
         F.when(call, "call").otherwise("result").alias("kind"),
         F.lit(0).alias("place"),
         F.when(call, name(turn)).otherwise(name(turn - 1)).alias("call_id"),
-        F.when(call & (turn > 0), name(F.greatest(turn - 2, F.lit(0)))).alias("after"),
+        F.when(call & (turn > 0), F.array(name(F.greatest(turn - 2, F.lit(0))))).alias("after"),
         F.when(call, F.lit("say")).alias("name"),
         F.when(call, arguments).alias("arguments"),
         F.when(~call, F.col("text")).alias("content"),

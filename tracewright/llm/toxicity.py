@@ -1,21 +1,25 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexical transducer maps words to symbols: insult, threat, target, negation, reported speech, other. Three
-modifier transducers (negation with a short scope, reported speech and target, both for the clause) are composed into one machine
-that reads the symbols of a clause and emits, for each insult or threat, its context. A match scores its lexical
-weight times the weight of its context, a clause the sum of its matches. The sum over the clauses, its density, the best match and the number of
-matches give a document's probability by logistic regression. Without a match the score rests on the prior alone.
+A lexical transducer maps words to symbols with weights: insult, threat, target, negation, reported speech, other. Five pattern transducers read the symbols
+of a clause: insult and threat mark that they matched, target and reported speech that they were met, and negation, with a short scope, weakens the arcs of
+insults and threats behind it. They are composed into one machine, whose arcs multiply the factors and join the marks of theirs; the lexical transducer
+is composed with it word by word as texts are read. A clause matches if an insult or threat does: it scores the sum of the weights along its path, times the
+weight of its pattern, which is the set of its marks. The best clause, the sum over the clauses, its density and the number of matching clauses give a
+document's probability by logistic regression. Without a match the score rests on the prior alone.
 
 Threats, targets, negations and verbs of reported speech are fixed lists. Insults are learned: words and word beginnings
-that labelled toxic documents have far more often than others, with their log odds as weights; so are the context weights. At most
-``TRAIN_ROWS`` labelled rows are used, those of the smallest hash of the id, copies of one text once. All else covers all rows and whole texts.
+that labelled toxic documents have far more often than others, with their log odds as weights; so are the weights of threats that labels bear out, and those of
+the patterns. At most ``TRAIN_ROWS`` labelled rows are used, those of the smallest hash of the id, near copies with one label once. All else covers
+all rows and whole texts. The result doesn't depend on how rows are dealt over partitions.
 
 Null texts count as empty and match nothing. Rows of ``labels`` without a document, with a null id or a null label are not
-used. Without labels of both kinds the fixed lists alone score. Repeated document rows give one result row each. An empty table gives an empty result.
+used; repeated ones count once. Without labels of both kinds the fixed lists alone score. Repeated document rows give one result row each; texts of any length are
+read whole. Only doc_id and text are read, so clashing names do no harm. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
@@ -24,80 +28,85 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, bounded_batches, stage
+from .common import arrow_batch, bounded_batches, stage, unstage
 from .near_dedup import shingles
 from .quality import fold, labelled_sample
 
 TRAIN_ROWS = 20_000
-#: A learned unit occurs in so many toxic documents, has such log odds and so many standard deviations more of them than
-#: chance gives; the lexicon has so many units at most.
-LEAST_DOCS, LEAST_ODDS, LEAST_SIGMAS, LEXICON = 5, 1.5, 6.0, 5000
+#: A learned unit occurs in so many toxic documents, has such log odds and so many standard deviations more of them than chance gives.
+LEAST_DOCS, LEAST_ODDS, LEAST_SIGMAS = 5, 1.5, 6.0
 #: Lengths of word beginnings that are candidates beside whole words.
 STEMS = (4, 5, 6, 7, 8)
 SCOPE = 3
-INSULT, THREAT, TARGET, NEGATION, REPORTED, OTHER = "insult", "threat", "target", "negation", "reported", "other"
+INSULT, THREAT, TARGET, NEGATION, REPORTED, OTHER = SYMBOLS = ("insult", "threat", "target", "negation", "reported", "other")
+#: Marks of a clause, in the order of the pattern machines.
+IS_INSULT, IS_THREAT, IS_AIMED, IS_REPORTED, IS_NEGATED = 1, 2, 4, 8, 16
+PATTERNS = 32
 # Words of the four languages of the corpus.
 THREATS = frozenset("kill hurt destroy murder shoot stab strangle töten umbringen zerstören tuer détruire frapper matar destruir golpear".split())
 TARGETS = frozenset("you your yours he she him her they them du dich dein ihr euch er sie tu toi vous ton votre il elle ils tú te usted ustedes tu él ella ellos".split())
 NEGATIONS = frozenset("not no never isn't aren't wasn't nicht kein keine nie niemals ne pas jamais non nunca jamás".split())
 REPORTS = frozenset("said says say called wrote quoted claimed told sagte sagt nannte schrieb dit disait appelé écrit dijo dice llamó escribió".split())
-THREAT_WEIGHT = 0.25
+#: Weight of a threat that labels don't bear out; what negation leaves of an insult or threat.
+THREAT_WEIGHT, NEGATED = 0.25, 0.5
 CLAUSES = re.compile(r"[.!?;:,\n]+")
 WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """Arcs from (state, symbol) to the next state; a missing arc stays. ``flag`` is the output of a state."""
+    """Arcs from (state, symbol) to (next state, factor, marks), from state 0; a missing arc stays, with factor 1 and no mark."""
 
-    start: int
-    arcs: dict[tuple[int, str], int]
-    flag: dict[int, int]
+    arcs: dict[tuple[int, str], tuple[int, float, int]]
 
 
-def negation(scope: int) -> Transducer:
-    arcs = {(s, NEGATION): scope for s in range(scope + 1)}
-    arcs |= {(s, x): s - 1 for s in range(1, scope + 1) for x in (OTHER, TARGET, REPORTED, INSULT, THREAT)}
-    return Transducer(0, arcs, {s: int(s > 0) for s in range(scope + 1)})
+def matched(symbol: str, mark: int) -> Transducer:
+    """Marks the clause at the symbol."""
+    return Transducer({(0, symbol): (1, 1.0, mark)})
 
 
-def seen(symbol: str) -> Transducer:
-    return Transducer(0, {(0, symbol): 1}, {0: 0, 1: 1})
+def negation(scope: int) -> Transducer:
+    """The state is the number of words that a negation still covers."""
+    arcs = {(s, NEGATION): (scope, 1.0, 0) for s in range(scope + 1)}
+    for s in range(1, scope + 1):
+        arcs |= {(s, x): (s - 1, 1.0, 0) for x in (OTHER, TARGET, REPORTED)} | {(s, x): (s - 1, NEGATED, IS_NEGATED) for x in (INSULT, THREAT)}
+    return Transducer(arcs)
 
 
-def compose(machines: list[Transducer]) -> tuple[int, list[dict[str, int]], list[int]]:
-    """The product machine: start, for each state its arcs, and for each state its flags as a number."""
-    start = tuple(m.start for m in machines)
+def compose(machines: list[Transducer]) -> list[dict[str, tuple[int, float, int]]]:
+    """The product machine: for each state, 0 being the start, its arcs."""
+    start = (0,) * len(machines)
     number, arcs, todo = {start: 0}, [], [start]
     for state in todo:
         row = {}
-        for x in (INSULT, THREAT, TARGET, NEGATION, REPORTED, OTHER):
-            after = tuple(m.arcs.get((s, x), s) for m, s in zip(machines, state, strict=True))
+        for x in SYMBOLS:
+            steps = [m.arcs.get((s, x), (s, 1.0, 0)) for m, s in zip(machines, state, strict=True)]
+            after = tuple(s for s, _, _ in steps)
             if after not in number:
                 number[after] = len(todo)
                 todo.append(after)
-            row[x] = number[after]
+            row[x] = (number[after], math.prod(f for _, f, _ in steps), sum(mark for _, _, mark in steps))
         arcs.append(row)
-    flags = [sum(m.flag[s] << i for i, (m, s) in enumerate(zip(machines, state, strict=True))) for state in todo]
-    return 0, arcs, flags
+    return arcs
 
 
+GRAMMAR = (matched(INSULT, IS_INSULT), matched(THREAT, IS_THREAT), matched(TARGET, IS_AIMED), matched(REPORTED, IS_REPORTED), negation(SCOPE))
 N_FEATURES = 7
 
 
 @dataclass
 class Grammar:
-    """Lexical weights, context weights and regression; bounded by LEXICON."""
+    """Lexical weights, pattern weights and regression; what TRAIN_ROWS texts bear out bounds its size."""
 
     insults: dict[str, float] = field(default_factory=dict)
-    contexts: list[float] = field(default_factory=lambda: [1.0] * 8)
+    patterns: list[float] = field(default_factory=lambda: [1.0] * PATTERNS)
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
     weights: np.ndarray | None = None
     _symbols: dict[str, tuple[str, float]] = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
-        self.start, self.arcs, self.flags = compose([negation(SCOPE), seen(REPORTED), seen(TARGET)])
+        self.arcs = compose(list(GRAMMAR))
 
     def __getstate__(self):
         return self.__dict__ | {"_symbols": {}}
@@ -108,10 +117,10 @@ class Grammar:
         if found is None:
             get = self.insults.get
             weight = max([get(word, 0.0), *(get(word[:k] + "*", 0.0) for k in STEMS if len(word) >= k)])
-            if weight > 0:
+            if word in THREATS:
+                found = (THREAT, max(weight, THREAT_WEIGHT))
+            elif weight > 0:
                 found = (INSULT, weight)
-            elif word in THREATS:
-                found = (THREAT, THREAT_WEIGHT)
             else:
                 found = (TARGET if word in TARGETS else NEGATION if word in NEGATIONS else REPORTED if word in REPORTS else OTHER, 0.0)
             if len(self._symbols) > 400_000:
@@ -119,36 +128,36 @@ class Grammar:
             self._symbols[word] = found
         return found
 
+    def path(self, clause: str) -> tuple[int, float]:
+        """The clause's marks and the sum of the weights along its path through lexicon and grammar."""
+        state, marks, total = 0, 0, 0.0
+        for word in WORDS.findall(clause):
+            symbol, weight = self.symbol(word)
+            state, factor, mark = self.arcs[state][symbol]
+            marks |= mark
+            total += weight * factor
+        return marks, total
+
     def matches(self, text: str | None) -> tuple[int, list[tuple[int, float]]]:
-        """The number of words and, clause by clause, (context, lexical weight) of each match in the whole text."""
+        """The number of words of the whole text, and (marks, weight) of each clause that matches."""
         text = (text or "").lower()
         words = WORDS.findall(text)
         if not any(self.symbol(w)[1] for w in set(words)):
             return len(words), []
-        out = []
-        for clause in CLAUSES.split(text):
-            read = [self.symbol(w) for w in WORDS.findall(clause)]
-            if not any(weight for _, weight in read):
-                continue
-            state, found = self.start, []
-            for symbol, weight in read:
-                if weight:
-                    found.append((self.flags[state] & 1, weight))
-                state = self.arcs[state][symbol]
-            rest = self.flags[state] & ~1  # reported speech and target hold for the clause
-            out += [(negated | rest, weight) for negated, weight in found]
-        return len(words), out
+        paths = (self.path(clause) for clause in CLAUSES.split(text))
+        return len(words), [(marks, weight) for marks, weight in paths if marks & (IS_INSULT | IS_THREAT)]
 
     def features(self, n_words: int, matches: list[tuple[int, float]]) -> list[float]:
-        scored = [weight * self.contexts[context] for context, weight in matches]
-        raw = sum(scored)
-        return [np.log1p(raw), np.log1p(100 * raw / max(10, n_words)), max(scored, default=0.0) / 5, float(bool(scored)), np.log1p(len(scored)), np.log1p(n_words) / 5, float(len(scored) > 1)]
+        clauses = [weight * self.patterns[marks] for marks, weight in matches]
+        whole = sum(clauses)
+        return [np.log1p(whole), np.log1p(100 * whole / max(10, n_words)), max(clauses, default=0.0) / 5, float(bool(clauses)), np.log1p(len(clauses)), np.log1p(n_words) / 5, float(len(clauses) > 1)]
 
     def score(self, features: list[list[float]]) -> np.ndarray:
         x = np.array(features, dtype=float).reshape(-1, N_FEATURES)
         if self.weights is None:  # the fixed lists alone
             return x[:, 2] / (1 + x[:, 2])
-        return 1 / (1 + np.exp(-np.clip(_squared((x - self.mean) / self.scale) @ self.weights, -30, 30)))
+        odds = (_squared((x - self.mean) / self.scale) * self.weights).sum(axis=1)  # row by row, whatever the batch
+        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
 def _squared(x: np.ndarray) -> np.ndarray:
@@ -175,11 +184,22 @@ def fit(training: DataFrame) -> Grammar:
 
     def sketched(batches):
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            yield arrow_batch([(text, label, int(own.min() >> np.uint64(1)) if len(own := shingles(text)) else 0) for text, label in rows], "text string, label double, sketch long")
-
-    # near copies mostly share their smallest shingle; one of them is enough
-    training = stage(training.mapInArrow(sketched, "text string, label double, sketch long").dropDuplicates(["sketch", "label"]), "training")
+            out = []
+            for text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                least = shingles(text)[:2].view(np.int64).tolist()
+                out.append((text, label, *least, *[0] * (2 - len(least))))
+            yield arrow_batch(out, "text string, label double, a long, b long")
+
+    # near copies mostly share their two smallest shingles; one of them is enough
+    sketches = training.mapInArrow(sketched, "text string, label double, a long, b long")
+    staged = stage(sketches.groupBy("a", "b", "label").agg(F.min("text").alias("text")).select("text", "label"), "training")
+    try:
+        return _fitted(staged)
+    finally:
+        unstage(staged)
+
+
+def _fitted(training: DataFrame) -> Grammar:
     n, positive = training.agg(F.count("*"), F.sum("label")).first()
     if not n or positive in (0, n):
         return Grammar()
@@ -198,18 +218,18 @@ def fit(training: DataFrame) -> Grammar:
     all_docs = F.col("p") + F.col("q")
     sigmas = (F.col("p") - all_docs * positive / n) / F.sqrt(all_docs * positive * negative / n**2)
     chosen = sums.where(F.col("p") >= LEAST_DOCS).withColumn("odds", odds).where((F.col("odds") >= LEAST_ODDS) & (sigmas >= LEAST_SIGMAS))
-    grammar = Grammar({u: w for u, w in chosen.orderBy(F.desc(F.col("odds") * F.log1p("p")), "unit").limit(LEXICON).select("unit", "odds").collect()})
+    grammar = Grammar(dict(chosen.select("unit", "odds").collect()))  # of TRAIN_ROWS texts
 
-    def in_context(batches):
+    def in_pattern(batches):
         of = Counter()
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                of.update((c, int(label > 0.5)) for c in {c for c, _ in grammar.matches(text)[1]})
-        yield arrow_batch([(c, y, k) for (c, y), k in of.items()], "context long, label long, n long")
+                of.update((marks, int(label > 0.5)) for marks in {marks for marks, _ in grammar.matches(text)[1]})
+        yield arrow_batch([(marks, y, k) for (marks, y), k in of.items()], "marks long, label long, n long")
 
-    summed = training.select("text", "label").mapInArrow(in_context, "context long, label long, n long").groupBy("context", "label").agg(F.sum("n").alias("n"))
-    seen_in = {(c, y): k for c, y, k in summed.collect()}  # 16 rows at most
-    grammar.contexts = [(seen_in.get((c, 1), 0) + 2) / (seen_in.get((c, 1), 0) + seen_in.get((c, 0), 0) + 2) for c in range(8)]
+    summed = training.select("text", "label").mapInArrow(in_pattern, "marks long, label long, n long").groupBy("marks", "label").agg(F.sum("n").alias("n"))
+    met = {(marks, y): k for marks, y, k in summed.collect()}  # 2 * PATTERNS rows at most
+    grammar.patterns = [(met.get((m, 1), 0) + 2) / (met.get((m, 1), 0) + met.get((m, 0), 0) + 2) for m in range(PATTERNS)]
 
     def described(batches):
         for batch in batches:
@@ -217,6 +237,8 @@ def fit(training: DataFrame) -> Grammar:
 
     rows = training.select("text", "label").mapInArrow(described, "features array<double>, label double").toArrow()  # TRAIN_ROWS small rows at most
     x, y = np.array(rows["features"].to_pylist()), rows["label"].to_numpy()
+    order = np.lexsort((y, *x.T))  # sums of floats depend on it
+    x, y = x[order], y[order]
     grammar.mean, grammar.scale = x.mean(0), x.std(0) + 1e-9
     grammar.weights = logistic(_squared((x - grammar.mean) / grammar.scale), y)
     return grammar
