@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
-from tracewright.llm.common import stage, table
+from tracewright.llm.common import table, tidy, unstage
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, function in STAGES:
+        # the stage's own staged tables, and then the result before it, have no reader left
+        docs = tidy(lambda rows, apply=function: apply(spark, rows, sf_dir))(docs)
+        if before is not None:
+            unstage(before)
+        before = docs
     return docs
 
 
