@@ -182,6 +182,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     members = short.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("class_id", "n_shingles"))).alias("members"))  # fewer than SMALL
     later = members.select(F.posexplode("members").alias("at", "one"), "members").select("one", F.explode(F.slice("members", F.col("at") + 2, F.size("members"))).alias("two"))
     met = later.where(_near(F.col("one.n_shingles"), F.col("two.n_shingles"))).select(F.col("one.class_id").alias("a"), F.col("two.class_id").alias("b"))
+    met = stage(met, "met")
     long_lists = stage(lists.where(F.col("n") >= SMALL), "long")
     n_postings = postings.count()
     for pivot in ("first", "second"):
