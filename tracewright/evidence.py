@@ -7,69 +7,175 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright import lineage_rows as rows
 from tracewright.operators import rules
-from tracewright.plans import lineage
+from tracewright.plans import lineage, workflow
 from tracewright.streaming import events
 
-#: A small script in the dialect that is analysed; its tables are those of the tests.
-SCRIPT = """
+#: Scripts in the dialect that is analysed: reports over the tests' tables, what rests on schemas that the scripts themselves declare, and what stays open.
+SCRIPTS = {
+    "report.sql": """
 CREATE TABLE mart.big_orders AS WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice AS price FROM orders WHERE o_totalprice > ${least})
   SELECT o.o_orderkey, c.c_name, upper(c.c_mktsegment) AS segment, o.price FROM o JOIN customer c ON c.c_custkey = o.o_custkey;
 CREATE TABLE mart.lines AS SELECT l_orderkey AS orderkey, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM lineitem GROUP BY l_orderkey;
 INSERT INTO mart.report (segment, name, revenue) SELECT b.segment, b.c_name, l.revenue FROM mart.big_orders b LEFT JOIN mart.lines l ON l.orderkey = b.o_orderkey
   UNION ALL SELECT 'none', s_name, s_acctbal FROM supplier;
 INSERT OVERWRITE TABLE ${env}.final SELECT r.*, row_number() OVER (PARTITION BY segment ORDER BY revenue DESC) AS n FROM (SELECT segment, revenue FROM mart.report) r;
-"""
+""",
+    "schema.sql": """
+CREATE TABLE stage.a (id int, name string);
+CREATE TABLE stage.b LIKE stage.a;
+CREATE TABLE mart.x AS SELECT * FROM stage.b;
+CREATE VIEW mart.y AS SELECT x.*, cast(upper(trim(name)) AS int) AS up FROM mart.x x;
+INSERT INTO mart.k (id, name) VALUES (1, 'one'), (2, 'two');
+UPDATE mart.k SET name = 'zero', id = id + 1 WHERE id = 0;
+MERGE INTO mart.k t USING stage.a s ON t.id = s.id AND t.name = s.name WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *;
+CREATE TABLE mart.c AS SELECT 1 AS a;
+CREATE TABLE mart.c AS SELECT 1 AS b;
+""",
+    "open.sql": """
+INSERT INTO mart.z SELECT * FROM raw.unknown;
+INSERT INTO mart.u (a) SELECT a FROM mart.c ON CONFLICT (a) DO NOTHING;
+INSERT INTO mart.v (a, b) SELECT x FROM raw.p JOIN raw.q ON raw.p.k = raw.q.k;
+SELECT t.missing FROM raw.p p, raw.q q;
+""",
+}
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _expects(expected: tuple[str, str]) -> Callable[[Query], Query]:
+    """Registers a query over SCRIPTS with the rows that it has to give; columns are name or name:type."""
+    columns, rows = expected
+    names = [c.partition(":") for c in columns.split()]
+    picked = ", ".join(f"CAST({n} AS {kind or 'VARCHAR'}) AS {n}" for n, _, kind in names)
+
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        _SQL[f.__name__] = f"SELECT {picked} FROM (VALUES {rows}) AS t({', '.join(n for n, _, _ in names)})"
+        return f
+
+    return register
 
 
 def _facts(spark: SparkSession) -> dict[str, DataFrame]:
-    return lineage.analyse(spark, [("report.sql", SCRIPT)])
+    return lineage.analyse(spark, SCRIPTS.items())
 
 
+def _placed(spark: SparkSession, fact: str, *columns: str) -> DataFrame:
+    """A kind of facts with the file and line of their statements in place of identifiers."""
+    facts = _facts(spark)
+    at = facts["statements"].select("statement_id", "file", "line_start")
+    return facts[fact].join(at, "statement_id").select("file", "line_start", *columns)
+
+
+@_expects(rows.STATEMENTS)
 def lineage_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark)["statements"]
+    return _facts(spark)["statements"].select("file", "line_start", "operation", "target", "binding_mode", "parse_status", "n_scopes", "lint")
+
 
+@_expects(rows.SCOPES)
+def lineage_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, "scopes", "scope_kind", "outputs", "output_contract")
 
+
+@_expects(rows.RELATIONS)
+def lineage_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, "relations", "relation_kind", "relation_name", "alias")
+
+
+@_expects(rows.COLUMNS)
 def lineage_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark)["columns"]
+    return _placed(spark, "columns", "column_ref", "role", "relation_name", "column_name", "status", "basis")
 
 
+@_expects(rows.JOINS)
 def lineage_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark)["joins"]
+    return _placed(spark, "joins", "join_type", "condition_kind", "left_column", "operator", "right_column", "status", "physical_join_confirmed")
 
 
+@_expects(rows.DIRECT)
 def lineage_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark)["direct"]
+    return _placed(spark, "direct", "branch", "target_column", "expression_kind", "source_relation", "source_column", "status", "origin_status")
 
 
+@_expects(rows.RECURSIVE)
 def lineage_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark)["recursive"]
+    return _placed(spark, "recursive", "branch", "target_column", "terminal_kind", "source_relation", "source_column", "depth", "status")
 
 
+@_expects(rows.GAPS)
 def lineage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark)["gaps"]
+    return _placed(spark, "gaps", "gap_kind").groupBy("file", "line_start", "gap_kind").agg(F.count("*").alias("n"))
+
+
+@_expects(rows.KEYS)
+def lineage_key_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, "keys", "key_kind", "relation_name", "key_columns")
+
+
+@_expects(rows.LITERALS)
+def lineage_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, "literals", "operation", "target", "target_column", "literal")
+
 
+@_expects(rows.PATHS)
+def lineage_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, "paths", "target_column", "column_ref", "operations")
 
+
+@_expects(rows.CONTRACTS)
+def lineage_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark)["contracts"]
+
+
+@_expects(rows.DEPENDENCIES)
 def lineage_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.dependencies(_facts(spark)["recursive"])
 
 
+@_expects(rows.ACROSS)
 def lineage_across(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.across_statements(_facts(spark)["recursive"])
 
 
+@_expects(rows.JOIN_KEYS)
 def lineage_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.key_observations(_facts(spark)["joins"])
 
 
-def sql_relation_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles of the script's relations from what writes and reads them."""
-    facts = _facts(spark)
+@_expects(rows.PRODUCERS)
+def sql_producers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.producers(_facts(spark)["statements"]).drop("statement_id")
+
+
+@_expects(rows.VALUE_SOURCES)
+def sql_value_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.value_sources(_facts(spark)["recursive"]).drop("mapping_id")
+
+
+@_expects(rows.DRIVERS)
+def sql_driver_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.driver_relations(_facts(spark)["recursive"])
+
+
+@_expects(rows.CALCULATIONS)
+def sql_calculations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.calculations(_facts(spark)["direct"])
+
+
+def _relation_uses(facts: dict[str, DataFrame]) -> DataFrame:
     names = facts["relations"].groupBy("relation_name", "relation_kind").agg(F.count("*").alias("reads"))
     writes = facts["statements"].where("target is not null").groupBy(F.col("target").alias("relation_name")).agg(F.count("*").alias("writes"))
-    both = names.join(writes, "relation_name", "full")
+    return names.join(writes, "relation_name", "full")
+
+
+@_expects(rows.ROLES)
+def sql_relation_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of the scripts' relations from what writes and reads them."""
+    both = _relation_uses(_facts(spark))
     kind = F.coalesce("relation_kind", F.when(F.col("relation_name").contains("${"), "physical_template").otherwise("physical"))
     technical, owned = F.col("relation_name").rlike(r"(?i)(tmp|stg|temp)"), F.col("relation_name").startswith("mart.")
     count = lambda c: F.coalesce(c, F.lit(0))
@@ -84,12 +190,11 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WINDOWS = """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n_events, round(sum(value), 2) AS total FROM events GROUP BY ALL"""
 
-_ALL = (lineage_statements, lineage_columns, lineage_joins, lineage_direct, lineage_recursive, lineage_gaps, lineage_dependencies, lineage_across, lineage_keys, sql_relation_roles, event_windows)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in _ALL}
+    return _QUERIES | {"event_windows": event_windows}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"event_windows": _WINDOWS}
+    return _SQL | {"event_windows": _WINDOWS}

@@ -66,7 +66,7 @@ def lint(sql: str) -> list[str]:
         "select_star": re.search(r"select\s+(\w+\.)?\*", s),
         "cross_join": re.search(r"\bcross\s+join\b", s),
         "many_joins": len(re.findall(r"\bjoin\b", s)) > 5,
-        "insert_without_columns": re.search(r"insert\s+(into|overwrite)\s+(table\s+)?[\w.`]+\s+(select|with)\b", s),
+        "insert_without_columns": re.search(r"insert\s+(into|overwrite)\s+(table\s+)?[\w.`${}]+\s+(select|with)\b", s),
         "order_without_limit": re.search(r"\border\s+by\b", s) and not re.search(r"\blimit\b", s),
         "delete_without_where": re.search(r"^\s*delete\b", s) and " where " not in s,
     }
@@ -79,3 +79,18 @@ def regex_relations(sql: str) -> tuple[list[str], list[str]]:
     read = re.findall(rf"\b(?:from|join)\s+{names}", sql, re.I)
     written = re.findall(rf"\binsert\s+(?:into|overwrite)\s+(?:table\s+)?{names}|\bcreate\s+(?:or\s+replace\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?{names}", sql, re.I)
     return sorted(set(read)), sorted({a or b for a, b in written})
+
+
+def conflict_keys(sql: str) -> list[str]:
+    """The columns of each ``ON CONFLICT (...)``, which the parser doesn't take, joined by commas."""
+    return [",".join(c.strip(' `"') for c in found.split(",")) for found in re.findall(r"\bon\s+conflict\s*\(([^()]*)\)", strip_comments(sql), re.I)]
+
+
+def masked(text: str) -> str:
+    """Quoted strings, quoted names and comments as spaces; offsets and lines keep their meaning."""
+    return _TOKENS.sub(lambda m: m[0] if m[3] else re.sub(r"[^\n]", " ", m[0]), text)
+
+
+def placeholders(text: str) -> list[tuple[int, str]]:
+    """(offset, placeholder) in the order of the text."""
+    return [(m.start(), m[0]) for m in PLACEHOLDER.finditer(text)]

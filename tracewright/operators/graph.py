@@ -5,12 +5,16 @@ Loops keep their state as staged tables; see ``checkpointed``.
 
 from __future__ import annotations
 
+import tempfile
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONFIDENCE = ("unknown", "probable", "confirmed")
+#: So many frontiers are united in a plan before they are written as one table.
+MERGED = 16
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -19,26 +23,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="checkpoint-") if sc.master.startswith("local[") else df.sparkSession.conf.get("spark.sql.warehouse.dir")
+            if not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
 def closure(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """(start, node, depth): everything reachable, with the smallest depth; cycles end where a node was met before."""
-    steps = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).where("next is not null").distinct()
-    frontier = steps.select(F.col("node").alias("start"), F.col("next").alias("node")).distinct().withColumn("depth", F.lit(1))
-    reached = checkpointed(frontier)
-    frontier = reached
+    """(start, node, depth): everything reachable, with the smallest depth; cycles end where a node was met before.
+
+    Each round writes its own frontier alone; what was met is their union.
+    """
+    steps = checkpointed(edges.select(F.col(source).alias("node"), F.col(target).alias("next")).where("next is not null").distinct())
+    rounds = [checkpointed(steps.select(F.col("node").alias("start"), F.col("next").alias("node")).distinct().withColumn("depth", F.lit(1)))]
     for depth in count(2):
-        found = frontier.join(steps, "node").select("start", F.col("next").alias("node")).distinct()
-        frontier = checkpointed(found.join(reached, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        found = rounds[-1].join(steps, "node").select("start", F.col("next").alias("node")).distinct()
+        met = reduce(DataFrame.unionByName, [r.select("start", "node") for r in rounds])
+        frontier = checkpointed(found.join(met, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
-        reached = checkpointed(reached.unionByName(frontier))
-    return reached
+            return reduce(DataFrame.unionByName, rounds)
+        rounds.append(frontier)
+        if len(rounds) > MERGED:
+            rounds = [checkpointed(reduce(DataFrame.unionByName, rounds[:-1])), frontier]
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str, source: str, target: str) -> DataFrame:
@@ -72,16 +79,16 @@ def shortest_paths(edges: DataFrame, source: str, target: str, start: DataFrame,
     """(start, node, hops, path): a shortest path to each node within ``max_hops``; ties go to the smallest path."""
     steps = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).where("node is not null and next is not null").distinct()
     frontier = start.select(F.col(start.columns[0]).alias("start"), F.col(start.columns[0]).alias("node"), F.lit(0).alias("hops"), F.array(F.col(start.columns[0])).alias("path"))
-    reached = checkpointed(frontier)
-    frontier = reached
+    rounds = [checkpointed(frontier)]
     for hop in range(1, max_hops + 1):
-        found = frontier.join(steps, "node").select("start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
-        found = found.groupBy("start", "node").agg(F.min("path").alias("path")).join(reached.select("start", "node"), ["start", "node"], "left_anti")
+        found = rounds[-1].join(steps, "node").select("start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
+        met = reduce(DataFrame.unionByName, [r.select("start", "node") for r in rounds])
+        found = found.groupBy("start", "node").agg(F.min("path").alias("path")).join(met, ["start", "node"], "left_anti")
         frontier = checkpointed(found.select("start", "node", F.lit(hop).alias("hops"), "path"))
         if frontier.isEmpty():
             break
-        reached = checkpointed(reached.unionByName(frontier))
-    return reached
+        rounds.append(frontier)
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def simple_paths(edges: DataFrame, source: str, target: str, start: DataFrame, goals: DataFrame, max_hops: int, max_branching: int | None = None) -> DataFrame:

@@ -8,15 +8,17 @@ from pyspark.sql.window import Window as W
 
 from tracewright.functions.ids import path_suffixes, stable_id, url_path
 
-#: Authorities that name an environment bind to nothing.
-ENVIRONMENTS = r"^(localhost|127\.0\.0\.1|0\.0\.0\.0|\$\{.*\}|\{.*\}|(dev|test|stage|prod)([.-].*)?)$"
+# Hosts that name the machine itself; they bind to nothing, nor does what ends with ``.localhost``.
+LOOPBACK = ("localhost", "0.0.0.0", "::", "::1")
 _ADDRESS = {"authority": 4, "service": 3, "property": 2, "none": 0}
 
 
 def binding_authority(authority: Column) -> Column:
-    """The authority in lower case, or null where it only names an environment."""
+    """The authority in lower case, or null where it is a placeholder or the machine itself."""
     plain = F.lower(F.trim(authority))
-    return F.when(~plain.rlike(ENVIRONMENTS) & (plain != ""), plain)
+    host = F.regexp_replace(F.regexp_replace(plain, r"^\[([^\]]*)\](:\d+)?$", "$1"), r"^([^:]*):\d+$", "$1")
+    loopback = host.isin(*LOOPBACK) | host.endswith(".localhost")
+    return F.when(~loopback & ~plain.rlike(r"^(\$\{.*|\{.*\})$") & (plain != ""), plain)
 
 
 def candidates(outbound: DataFrame, inbound: DataFrame) -> DataFrame:

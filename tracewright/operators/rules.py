@@ -37,6 +37,34 @@ def join_readiness(exact: Column, targets: Column, keys: Column, single: Column,
     )
 
 
+def extension_join(polymorphic: Column, embedded_key: Column, correspondences: Column, single: Column, derivations: Column, targets: Column) -> Column:
+    """struct(method, confidence, readiness): how an attribute of a related entity is reached; the first rule that holds wins."""
+    of = lambda method, confidence, readiness: F.struct(F.lit(method).alias("method"), F.lit(confidence).alias("confidence"), F.lit(readiness).alias("readiness"))
+    return (
+        F.when(polymorphic, of("resolve_reference_collection", "confirmed", "unresolved_requires_subtype_or_representation"))
+        .when(embedded_key, of("derive_source_identity_from_target_key", "confirmed", "transformation_required"))
+        .when(correspondences > 0, of("resolve_reference_value_to_target_key", "confirmed", "transformation_required"))
+        .when(single, of("equals", "confirmed", "direct_candidate_requires_physical_representation_check"))
+        .when((derivations > 0) & (targets > 0), of("resolve_reference_value_to_target_key", "strongly_supported", "transformation_required"))
+        .otherwise(of("not_established", "unresolved", "unresolved"))
+    )
+
+
+def usefulness(method: Column, confidence: Column, polymorphic: Column, exact_sql: Column, many: Column, storage_fields: Column) -> Column:
+    """What a consumer may do with an extension join: unresolved, ambiguity, confirmed, strongly_supported or probable."""
+    sure = confidence == "confirmed"
+    supported = F.when(confidence.isin("confirmed", "strongly_supported"), "probable").otherwise("unresolved")
+    return (
+        F.when(method == "not_established", "unresolved")
+        .when(polymorphic | (method == "resolve_reference_collection"), "ambiguity")
+        .when(exact_sql, "confirmed")
+        .when((method == "derive_source_identity_from_target_key") & many, F.when(sure, "strongly_supported").otherwise("probable"))
+        .when(method == "resolve_reference_value_to_target_key", F.when(sure & (storage_fields > 0), "strongly_supported").otherwise(supported))
+        .when(method == "equals", F.when(sure, "probable").otherwise("unresolved"))
+        .otherwise(supported)
+    )
+
+
 def value_preservation(transformation: Column) -> Column:
     return (
         F.when(transformation.isin("identity", "extracted"), "preserved")

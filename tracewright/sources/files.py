@@ -14,24 +14,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Folders that hold no sources, and suffixes that are read.
-SKIPPED = (".git", "target", "build", "node_modules", ".idea", ".gradle", "dist", "__pycache__", ".venv")
-SUFFIXES = ("sql", "hql", "q", "py", "scala", "java", "kt", "yaml", "yml", "json", "properties", "conf", "sh", "xml", "csv", "md", "gradle")
+# Folders that hold no sources, and the suffixes and names of files that are analysed.
+SKIPPED = (".git", "target", "build", ".gradle", ".idea", ".venv", "node_modules")
+SUFFIXES = ("java", "py", "sql", "xml", "yml", "yaml", "properties", "json", "csv", "tsv", "toml", "conf", "avsc", "proto", "gradle")
+NAMES = ("pom.xml", "Dockerfile", "pyproject.toml", "requirements.txt", "setup.py", "setup.cfg", "build.gradle.kts", "settings.gradle.kts", "libs.versions.toml")
+#: Other suffixes that readers of this package take: SQL in other files, notes, and models.
+ALSO_READ = ("hql", "q", "scala", "kt", "kts", "sh", "md", "pdm")
 EMBEDDED = ("py", "scala", "java", "kt", "yaml", "yml", "json", "properties", "conf", "sh")
 
 
 def scan_files(spark: SparkSession, root: str, with_text: bool = False) -> DataFrame:
-    """path (below ``root``), suffix, size and, if wanted, text of every eligible file; sorted by path when collected in order of ``path``."""
+    """path (below ``root``), suffix, size and, if wanted, text of every file that a reader takes; sorted by path when collected in order of ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     relative = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/*", "/")
     base = re.escape(re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/"))
     out = files.withColumn("path", F.regexp_replace(relative, f"^{base}/", "")).withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
     hidden = F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(s) for s in SKIPPED]))
-    out = out.where(~hidden & F.col("suffix").isin(*SUFFIXES))
+    out = out.where(~hidden & (_analysed() | F.col("suffix").isin(*ALSO_READ)))
     columns = ["path", "suffix", F.col("length").alias("size")]
     return out.select(*columns, F.col("content").cast("string").alias("text")) if with_text else out.select(*columns)
 
 
+def _analysed() -> Column:
+    return F.col("suffix").isin(*SUFFIXES) | F.regexp_extract("path", r"([^/]+)$", 1).isin(*NAMES)
+
+
+def eligible(files: DataFrame) -> DataFrame:
+    """The files that are analysed, by suffix or name."""
+    return files.where(_analysed())
+
+
 def detect_stack(files: DataFrame) -> DataFrame:
     """One row of flags: which technologies the file names show."""
     name = F.lower(F.regexp_extract("path", r"([^/]+)$", 1))
