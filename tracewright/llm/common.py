@@ -164,6 +164,11 @@ def arrow_batch(rows: Sequence[Sequence], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def hot_from(total: int) -> int:
+    """The number of rows from which on a key of ``total`` rows is hot: there are at most HOT_SHARE such keys."""
+    return max(total // HOT_SHARE, 1000)
+
+
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """Join where a key may hold a third of the left rows.
 
@@ -171,7 +176,7 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, tot
     at least ``total / HOT_SHARE`` of them number at most HOT_SHARE: those rows are broadcast. All other keys are
     small and meet in a shuffle. Both inputs should be staged, as they are read twice.
     """
-    limit = max(total // HOT_SHARE, 1000)
+    limit = hot_from(total)
     hot = F.broadcast(right.where(F.col(count) >= limit).drop(count).withColumn("_hot", F.lit(True)))
     cold = right.where(F.col(count) < limit).drop(count)
     marked = left.join(hot, keys, "left")
@@ -186,7 +191,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, count: str, total:
     The at most HOT_SHARE keys that hold ``total / HOT_SHARE`` left rows or more are cut into parts of about that size by the
     hash of ``spread``; their right rows, one a key, are repeated for each part.
     """
-    limit = max(total // HOT_SHARE, 1000)
+    limit = hot_from(total)
     parts = F.ceil(F.col(count) / limit).cast("int")
     hot = F.broadcast(right.where(F.col(count) >= limit).select(key, parts.alias("_parts")))
     marked = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")

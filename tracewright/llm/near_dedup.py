@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, bitmap_of, bounded_batches, hot_join, in_bitmap, kept_rows, stage, text_key, tidy, unstage, with_row_id
+from .common import arrow_batch, bitmap_of, bounded_batches, hot_from, hot_join, in_bitmap, kept_rows, stage, text_key, tidy, unstage, with_row_id
 from .words import mixed, run_hashes, word_hashes
 
 SIGNATURE, MATCHES, SHINGLE, PERCENT = 32, 10, 5, 75
@@ -178,13 +178,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     sets = _full_sets(docs, posted)
     postings = stage(posted.select("class_id", "n_shingles", F.explode("prefix").alias("token")), "postings")
     lists = stage(postings.groupBy("token").agg(F.count("*").alias("n"), F.min("class_id").alias("first"), F.min(F.col("class_id").bitwiseXOR(F.lit(_MIX))).bitwiseXOR(F.lit(_MIX)).alias("second")).where("n > 1"), "lists")
-    short = postings.join(lists.where(F.col("n") < SMALL).select("token"), "token")
+    n_postings = postings.count()
+    hot = F.broadcast(lists.where(F.col("n") >= hot_from(n_postings)).select("token"))  # HOT_SHARE at most; none of them is short
+    short = postings.join(hot, "token", "left_anti").join(lists.where(F.col("n") < SMALL).select("token"), "token")
     members = short.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("class_id", "n_shingles"))).alias("members"))  # fewer than SMALL
     later = members.select(F.posexplode("members").alias("at", "one"), "members").select("one", F.explode(F.slice("members", F.col("at") + 2, F.size("members"))).alias("two"))
     met = later.where(_near(F.col("one.n_shingles"), F.col("two.n_shingles"))).select(F.col("one.class_id").alias("a"), F.col("two.class_id").alias("b"))
     met = stage(met, "met")
     long_lists = stage(lists.where(F.col("n") >= SMALL), "long")
-    n_postings = postings.count()
     for pivot in ("first", "second"):
         star = hot_join(postings.select("token", "class_id"), long_lists.select("token", "n", F.col(pivot).alias("pivot")), ["token"], "n", n_postings)
         met = met.unionByName(star.where("class_id <> pivot").select(F.least("class_id", "pivot").alias("a"), F.greatest("class_id", "pivot").alias("b")).distinct())
