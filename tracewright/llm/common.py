@@ -197,3 +197,18 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, count: str, total:
     marked = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     copies = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col(count) >= limit, parts).otherwise(1) - 1))).drop(count)
     return marked.join(copies, [key, "_part"], "left").drop("_part")
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column) -> DataFrame:
+    """Inner join of two staged tables that can both repeat a key.
+
+    The at most HOT_SHARE keys that hold ``hot_from`` left rows or more are cut into parts of about that size by the hash of ``spread``, and
+    their right rows are repeated for each part; so no task has a hot key's rows times its partners.
+    """
+    uses = stage(left.groupBy(*keys).agg(F.count("*").alias("_uses")).join(right.select(*keys).distinct(), keys), "uses")
+    limit = hot_from(uses.agg(F.sum("_uses")).first()[0] or 0)
+    parts = F.when(F.col("_uses") >= limit, F.ceil(F.col("_uses") / limit)).otherwise(1).cast("int").alias("_parts")
+    hot = F.broadcast(uses.where(F.col("_uses") >= limit).select(*keys, parts))
+    dealt = left.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = right.join(uses.select(*keys, parts), keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return dealt.join(copies, [*keys, "_part"]).drop("_part")

@@ -7,7 +7,8 @@ word by word without moving the text again. Items shorter than the window are on
 the hash of all their words.
 
 A bitmap of fixed size over the item fingerprints keeps most document fingerprints out of the join; it only filters,
-so a full one costs time and not results. Candidates are joined by hash with either side of any size.
+so a full one costs time and not results. Candidates are joined by hash with either side of any size; a fingerprint that very many
+documents hold is dealt over several tasks.
 
 Null and empty texts have no words and no hits; items without words occur nowhere. An item id of null counts as the id "".
 Repeated document rows give one result row each; repeated items count once by id. Empty tables give empty
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, bitmap_of, bounded_batches, in_bitmap, kept_rows, stage, text_key, with_row_id
+from .common import arrow_batch, bitmap_of, bounded_batches, in_bitmap, kept_rows, spread_join, stage, text_key, tidy, with_row_id
 from .words import run_hashes, word_hashes
 
 #: Bits of the bitmap that filters document fingerprints.
@@ -117,7 +118,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, text: str = "text", it
     scanned = stage(rows.select("row_id", "doc_id", "text_key", text).mapInArrow(run, hit), "fingerprints")
     hits = scanned.where(F.col("hash").isNotNull()).drop("doc_id", "text_key", "n_words")
     theirs = prints.select("item", "hash", "length", F.col("place").alias("item_place"), F.col("start").alias("item_start"), F.col("context").alias("item_context"))
-    pairs = hits.join(theirs, ["hash", "length"])
+    pairs = spread_join(hits, theirs, ["hash", "length"], F.struct("row_id", "place"))
 
     def extend(batches):
         for batch in batches:
@@ -143,6 +144,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, text: str = "text", it
     return scanned.where(F.col("n_words").isNotNull()).select("row_id", "doc_id", "text_key", "n_words"), spans
 
 
+@tidy
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """One row per document row: row_id, doc_id, text_key, n_words, n_hit, n_items, items (sorted ids), contaminated."""
     counts, spans = contaminated_spans(docs, items, **options)

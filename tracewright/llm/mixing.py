@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a time-varying curriculum, with DataFrame functions only.
 
 Each source gets a target share of all words by its weight; no target exceeds ``cap`` times its source's size, and
-the excess is shared again by weight (the level of a water filling, found with running sums over the sources).
+the excess is shared again by weight (the level of a water filling, raised round by round with sums over the sources).
 Within a source, documents lie one behind the other in hash order; the source is passed until its
 target is reached, a document being taken whole in each pass that covers its middle. The weight of a source
 changes over training time as a piecewise linear schedule; its integral is the cumulative demand, and inverting
@@ -9,7 +9,7 @@ that at a document's cumulative words gives its training position.
 
 Running sums are taken within (source, hash bucket) and moved by bucket offsets, so a source with a third of all
 rows is spread over all tasks. Null texts have size 0 and are taken 0 times, as are sources without words.
-A null source is a source of its own, ordered last. Rows with equal ids and sizes are interchangeable. An empty table gives an
+A null source is a source of its own, ordered last. Rows with equal ids and texts are interchangeable. An empty table gives an
 empty result. Only doc_id, text and source are read.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import stage, with_row_id
+from .common import stage, tidy, with_row_id
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (1, 2, 3)
@@ -35,23 +35,34 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _ranked(by_source: DataFrame) -> DataFrame:
+    """``by_source`` with ``rank``, its place by code point of the source, null last; counted by range partition, so no task sees all sources."""
+    order = [F.col("source").isNull(), F.col("source")]
+    placed = by_source.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(placed.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranked")
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
+    offsets = sizes.select("part", (F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    return placed.join(F.broadcast(offsets), "part").withColumn("rank", F.col("before") + F.col("at")).drop("part", "at", "before")
+
+
 def source_targets(sized: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
-    """One row per source: key, source_size, n_docs, class (index of its weight), target."""
-    by_source = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    ranked = by_source.withColumn("class", (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights))
+    """One row per source: key, source_size, class (index of its weight), target.
+
+    The level rises from an equal share until no source that it caps is left open: each round is one sum over the sources.
+    """
+    by_source = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
+    ranked = _ranked(by_source).withColumn("class", F.col("rank") % len(weights))
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("class") + 1).cast("int")).cast("long")
-    filled = ranked.withColumn("weight", weight).withColumn("reach", cap * F.col("source_size") / F.col("weight"))
-    order = W.orderBy("reach", "key")
-    everything = W.partitionBy()
-    filled = (
-        filled.withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("capped", cap * (F.sum("source_size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("source_size")))
-        .withColumn("open_weight", F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing)))
-        .withColumn("level", (F.col("total") - F.col("capped")) / F.col("open_weight"))
-        .withColumn("level", F.max(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(everything))
-    )
-    target = F.least(F.col("weight") * F.col("level"), (cap * F.col("source_size")).cast("double"))
-    return filled.select("key", "source_size", "n_docs", "class", target.alias("target"))
+    filled = stage(ranked.select("key", "source_size", "class", weight.alias("weight"), (cap * F.col("source_size") / weight).alias("reach")), "sources")
+    total, level, capped = filled.agg(F.sum("source_size")).first()[0] or 0, -1.0, -1
+    while True:
+        under = F.col("reach") < level
+        n, spent, rest = filled.agg(F.count_if(under), F.sum(F.when(under, cap * F.col("source_size"))), F.sum(F.when(~under, F.col("weight")))).first()
+        if n == capped or not rest:
+            break
+        capped, level = n, (total - (spent or 0)) / rest
+    target = F.least(F.col("weight") * F.lit(float(level)), (cap * F.col("source_size")).cast("double"))
+    return filled.select("key", "source_size", "class", target.alias("target"))
 
 
 def invert_demand(share: Column, knots: Sequence[float]) -> Column:
@@ -71,19 +82,21 @@ def invert_demand(share: Column, knots: Sequence[float]) -> Column:
     return time.otherwise(F.lit(1.0))
 
 
+@tidy
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, cap: int = 3) -> DataFrame:
     """One row per document row: row_id, doc_id, size, source_size, target, copies, taken, positions.
 
     ``positions`` has the training position of each copy that is taken. Reruns agree.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    # with the text, as null and repeated ids must not fall into one bucket
+    hashed = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     sized = stage(with_row_id(docs.select("doc_id", "text", "source")).select("row_id", "doc_id", key.alias("key"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), hashed.alias("hash")), "sized")
     sized = sized.withColumn("bucket", F.substring("hash", 1, DIGITS))
     targets = source_targets(sized, weights, cap)
     buckets = sized.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     offsets = buckets.withColumn("offset", F.sum("words").over(W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("words"))
-    offsets = offsets.join(targets, "key").drop("words", "n_docs")  # at most 16^DIGITS rows a source
+    offsets = offsets.join(targets, "key").drop("words")  # at most 16^DIGITS rows a source
     within = W.partitionBy("key", "bucket").orderBy("hash", "doc_id", "size", "row_id").rowsBetween(W.unboundedPreceding, 0)
     laid = sized.withColumn("before", F.sum("size").over(within) - F.col("size")).join(offsets, ["key", "bucket"])
     middle = (F.col("offset") + F.col("before")) + F.col("size") / F.lit(2.0)
@@ -105,3 +118,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[S
 def training_order(mixed: DataFrame) -> DataFrame:
     """One row per taken copy, range-sorted by training position."""
     return mixed.select("row_id", "doc_id", "size", F.explode("positions").alias("position")).orderBy("position", "doc_id", "row_id")
+
+
+def with_copies(mixed: DataFrame, cap: int = 3) -> DataFrame:
+    """``mixed`` with position, position_2 and so on to ``cap`` in place of the array; null for copies that are not taken."""
+    names = ["position", *[f"position_{i}" for i in range(2, cap + 1)]]
+    return mixed.select("*", *[F.get("positions", F.lit(i)).alias(name) for i, name in enumerate(names)]).drop("positions")

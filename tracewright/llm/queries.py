@@ -33,9 +33,9 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    ordered = mixed.withColumn("position", F.round(F.get("positions", F.lit(0)), 6)).orderBy("position", "doc_id")
-    return ordered.select("doc_id", "size", "source_size", "target", "taken", "position")
+    mixed = mixing.with_copies(mixing.mix(table(spark, sf_dir, "documents")))
+    rounded = mixed.withColumns({name: F.round(name, 6) for name in ("position", "position_2", "position_3")})
+    return rounded.orderBy("position", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "position", "position_2", "position_3")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +94,17 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
        CASE WHEN payload_bytes >= 100 AND n > 1 THEN first END AS refers_to FROM k
 """
 
-_MIX = """
+_POSITION = """CASE WHEN copies > {k} THEN round(CASE class
+    WHEN 0 THEN CASE WHEN demand_{k} <= 1.25 THEN (2 * demand_{k} / (1.5 + sqrt(greatest(2.25 - demand_{k}, 0)))) / 2
+                     ELSE (1 + 2 * (demand_{k} - 1.25) / (1.0 + sqrt(greatest(1.0 - (demand_{k} - 1.25), 0)))) / 2 END
+    WHEN 1 THEN demand_{k} / 2
+    ELSE CASE WHEN demand_{k} <= 0.75 THEN (2 * demand_{k} / (0.5 + sqrt(0.25 + demand_{k}))) / 2
+              ELSE (1 + 2 * (demand_{k} - 0.75) / (1.0 + sqrt(1.0 + (demand_{k} - 0.75)))) / 2 END END, 6) END AS {name}"""
+
+_MIX = f"""
 WITH sized AS (
   SELECT doc_id, coalesce('=' || source, '') AS k, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS hash FROM documents),
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS hash FROM documents),
 by_source AS (SELECT k, source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY k, source),
 ranked AS (SELECT *, CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS BIGINT) AS class FROM by_source),
 reach AS (SELECT *, class + 1 AS weight, CAST(3 * source_size AS DOUBLE) / (class + 1) AS reach FROM ranked),
@@ -109,13 +116,9 @@ laid AS (SELECT doc_id, size, source_size, class, target,
            CAST(sum(size) OVER (PARTITION BY k ORDER BY hash, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS DOUBLE) + size / 2.0::DOUBLE AS middle
          FROM sized JOIN targets USING (k)),
 copied AS (SELECT *, CASE WHEN size > 0 AND source_size > 0 THEN CAST(least(greatest(floor((target - middle) / source_size) + 1, 0), 3) AS BIGINT) ELSE 0 END AS copies FROM laid),
-shared AS (SELECT *, CASE WHEN copies > 0 THEN least(middle / target, 1.0::DOUBLE) * 2 END AS demand FROM copied)
-SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, round(CASE class
-    WHEN 0 THEN CASE WHEN demand <= 1.25 THEN (2 * demand / (1.5 + sqrt(greatest(2.25 - demand, 0)))) / 2
-                     ELSE (1 + 2 * (demand - 1.25) / (1.0 + sqrt(greatest(1.0 - (demand - 1.25), 0)))) / 2 END
-    WHEN 1 THEN demand / 2
-    ELSE CASE WHEN demand <= 0.75 THEN (2 * demand / (0.5 + sqrt(0.25 + demand))) / 2
-              ELSE (1 + 2 * (demand - 0.75) / (1.0 + sqrt(1.0 + (demand - 0.75)))) / 2 END END, 6) AS position
+shared AS (SELECT *, {", ".join(f"least(({k} * source_size + middle) / nullif(target, 0), 1.0::DOUBLE) * 2 AS demand_{k}" for k in range(3))} FROM copied)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken,
+  {", ".join(_POSITION.format(k=k, name=name) for k, name in enumerate(("position", "position_2", "position_3")))}
 FROM shared
 """
 
