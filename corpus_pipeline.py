@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and its result is written as Parquet and read again as the
 next one's ``docs``. All but the last return the columns of ``documents``; the last returns, for each document that
-remains, its size, its source's size and target, the words taken, and its first training position.
+remains, its size, its source's size and target, the words taken, and the training positions of its copies.
+
+The stages read doc_id, text and, for mixing, source; nulls, empty and very long texts, ties, repeated rows, empty tables and further columns are
+treated as their operators say: poor texts go by score, of equal and near-equal texts one row stays, and rows without text are equal to each other.
 """
 
 from __future__ import annotations
@@ -10,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tracewright.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
 from tracewright.llm.common import table, tidy, unstage
@@ -33,8 +35,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs).withColumn("position", F.get("positions", F.lit(0)))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
+    mixed = mixing.with_copies(mixing.mix(docs))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position", "position_2", "position_3").orderBy("position", "doc_id")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -45,7 +47,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing to target weights", mix),
 ]
 
-#: SQL cannot fit the classifier, and no test calls run(); tests hold stages on small tables.
+#: SQL cannot fit the classifier; tests hold run() against brute force of its stages on small tables.
 ORACLE_SQL: str | None = None
 
 
