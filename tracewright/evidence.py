@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright import lineage_rows as rows
 from tracewright.operators import rules
 from tracewright.plans import lineage, workflow
+from tracewright.queries import expects, query
 from tracewright.streaming import events
 
 #: Scripts in the dialect that is analysed: reports over the tests' tables, what rests on schemas that the scripts themselves declare, and what stays open.
@@ -41,25 +40,6 @@ SELECT t.missing FROM raw.p p, raw.q q;
 """,
 }
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _expects(expected: tuple[str, str]) -> Callable[[Query], Query]:
-    """Registers a query over SCRIPTS with the rows that it has to give; columns are name or name:type."""
-    columns, rows = expected
-    names = [c.partition(":") for c in columns.split()]
-    picked = ", ".join(f"CAST({n} AS {kind or 'VARCHAR'}) AS {n}" for n, _, kind in names)
-
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        _SQL[f.__name__] = f"SELECT {picked} FROM (VALUES {rows}) AS t({', '.join(n for n, _, _ in names)})"
-        return f
-
-    return register
-
-
 def _facts(spark: SparkSession) -> dict[str, DataFrame]:
     return lineage.analyse(spark, SCRIPTS.items())
 
@@ -71,97 +51,97 @@ def _placed(spark: SparkSession, fact: str, *columns: str) -> DataFrame:
     return facts[fact].join(at, "statement_id").select("file", "line_start", *columns)
 
 
-@_expects(rows.STATEMENTS)
+@expects(*rows.STATEMENTS)
 def lineage_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(spark)["statements"].select("file", "line_start", "operation", "target", "binding_mode", "parse_status", "n_scopes", "lint")
 
 
-@_expects(rows.SCOPES)
+@expects(*rows.SCOPES)
 def lineage_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(spark, "scopes", "scope_kind", "outputs", "output_contract")
 
 
-@_expects(rows.RELATIONS)
+@expects(*rows.RELATIONS)
 def lineage_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(spark, "relations", "relation_kind", "relation_name", "alias")
 
 
-@_expects(rows.COLUMNS)
+@expects(*rows.COLUMNS)
 def lineage_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(spark, "columns", "column_ref", "role", "relation_name", "column_name", "status", "basis")
 
 
-@_expects(rows.JOINS)
+@expects(*rows.JOINS)
 def lineage_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(spark, "joins", "join_type", "condition_kind", "left_column", "operator", "right_column", "status", "physical_join_confirmed")
 
 
-@_expects(rows.DIRECT)
+@expects(*rows.DIRECT)
 def lineage_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(spark, "direct", "branch", "target_column", "expression_kind", "source_relation", "source_column", "status", "origin_status")
 
 
-@_expects(rows.RECURSIVE)
+@expects(*rows.RECURSIVE)
 def lineage_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(spark, "recursive", "branch", "target_column", "terminal_kind", "source_relation", "source_column", "depth", "status")
 
 
-@_expects(rows.GAPS)
+@expects(*rows.GAPS)
 def lineage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(spark, "gaps", "gap_kind").groupBy("file", "line_start", "gap_kind").agg(F.count("*").alias("n"))
 
 
-@_expects(rows.KEYS)
+@expects(*rows.KEYS)
 def lineage_key_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(spark, "keys", "key_kind", "relation_name", "key_columns")
 
 
-@_expects(rows.LITERALS)
+@expects(*rows.LITERALS)
 def lineage_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(spark, "literals", "operation", "target", "target_column", "literal")
 
 
-@_expects(rows.PATHS)
+@expects(*rows.PATHS)
 def lineage_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(spark, "paths", "target_column", "column_ref", "operations")
 
 
-@_expects(rows.CONTRACTS)
+@expects(*rows.CONTRACTS)
 def lineage_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(spark)["contracts"]
 
 
-@_expects(rows.DEPENDENCIES)
+@expects(*rows.DEPENDENCIES)
 def lineage_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.dependencies(_facts(spark)["recursive"])
 
 
-@_expects(rows.ACROSS)
+@expects(*rows.ACROSS)
 def lineage_across(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.across_statements(_facts(spark)["recursive"])
 
 
-@_expects(rows.JOIN_KEYS)
+@expects(*rows.JOIN_KEYS)
 def lineage_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.key_observations(_facts(spark)["joins"])
 
 
-@_expects(rows.PRODUCERS)
+@expects(*rows.PRODUCERS)
 def sql_producers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.producers(_facts(spark)["statements"]).drop("statement_id")
 
 
-@_expects(rows.VALUE_SOURCES)
+@expects(*rows.VALUE_SOURCES)
 def sql_value_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.value_sources(_facts(spark)["recursive"]).drop("mapping_id")
 
 
-@_expects(rows.DRIVERS)
+@expects(*rows.DRIVERS)
 def sql_driver_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.driver_relations(_facts(spark)["recursive"])
 
 
-@_expects(rows.CALCULATIONS)
+@expects(*rows.CALCULATIONS)
 def sql_calculations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.calculations(_facts(spark)["direct"])
 
@@ -172,7 +152,7 @@ def _relation_uses(facts: dict[str, DataFrame]) -> DataFrame:
     return names.join(writes, "relation_name", "full")
 
 
-@_expects(rows.ROLES)
+@expects(*rows.ROLES)
 def sql_relation_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of the scripts' relations from what writes and reads them."""
     both = _relation_uses(_facts(spark))
@@ -183,18 +163,7 @@ def sql_relation_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("relation_name", kind.alias("relation_kind"), role.alias("r")).select("relation_name", "relation_kind", "r.*")
 
 
+@query("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n_events, round(sum(value), 2) AS total FROM events GROUP BY ALL""")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = events.windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return counted.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
-
-
-_WINDOWS = """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n_events, round(sum(value), 2) AS total FROM events GROUP BY ALL"""
-
-
-
-def queries() -> dict[str, Query]:
-    return _QUERIES | {"event_windows": event_windows}
-
-
-def oracle_sql() -> dict[str, str]:
-    return _SQL | {"event_windows": _WINDOWS}

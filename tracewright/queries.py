@@ -26,6 +26,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def expects(columns: str, rows: str) -> Callable[[Query], Query]:
+    """A query over fixed texts with the rows that it has to give, as VALUES; columns are name or name:type."""
+    names = [c.partition(":") for c in columns.split()]
+    picked = ", ".join(f"CAST({n} AS {kind or 'VARCHAR'}) AS {n}" for n, _, kind in names)
+    return query(f"SELECT {picked} FROM (VALUES {rows}) AS t({', '.join(n for n, _, _ in names)})")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -440,12 +447,12 @@ def join_readiness(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from tracewright import catalog_queries, evidence  # noqa: F401
+    from tracewright import catalog_queries, evidence, sample_queries  # noqa: F401
 
-    return _QUERIES | evidence.queries()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from tracewright import catalog_queries, evidence  # noqa: F401
+    from tracewright import catalog_queries, evidence, sample_queries  # noqa: F401
 
-    return _SQL | evidence.oracle_sql()
+    return dict(_SQL)
