@@ -47,12 +47,11 @@ def with_count(df: DataFrame, other: DataFrame, key: str, other_key: str, name:
 
 
 def either_endpoint(edges: DataFrame, nodes: DataFrame, left: str, right: str, key: str) -> DataFrame:
-    """Edges that touch one of ``nodes``: two equi-joins in place of an OR, each edge once."""
-    ids = nodes.select(F.col(key)).distinct()
-    at_left = edges.join(ids.withColumnRenamed(key, left), left, "left_semi")
-    rest = edges.join(ids.withColumnRenamed(key, left), left, "left_anti")
-    at_right = rest.join(ids.withColumnRenamed(key, right), right, "left_semi")
-    return at_left.unionByName(at_right)
+    """Edges that touch one of ``nodes``: each end is flagged by an equi-join, in place of an OR; the edges are read once."""
+    ids = nodes.select(F.col(key)).where(F.col(key).isNotNull()).distinct()
+    at = lambda column, flag: ids.select(F.col(key).alias(column), F.lit(True).alias(flag))
+    flagged = edges.join(at(left, "_left"), left, "left").join(at(right, "_right"), right, "left")
+    return flagged.where(F.col("_left") | F.col("_right")).select(*edges.columns)
 
 
 def list_membership(df: DataFrame, lists: DataFrame, id_column: str, list_column: str) -> DataFrame:
