@@ -23,6 +23,7 @@ def _tables(seed):
         cut = texts[20 + i][0].split()
         cut[len(cut) // 2] = "changed"
         texts.append((" ".join(cut), 1))
+    texts += [(prose(40).capitalize() + f" {BENCHMARK[0]} " + prose(40) + ".", 1) for _ in range(4)]  # some of these pass the classifier
     texts += [(prose(40) + " " + BENCHMARK[0].upper() + " " + prose(40), 1), (prose(30) + " Short item, of five WORDS! " + prose(30), 1), (None, 0), ("", 0), (prose(9000), 1)]
     rng.shuffle(texts)
     rows = [(None if i % 17 == 5 else i, text, "en", None if i % 5 == 0 else f"s{i % 3}", 1) for i, (text, _) in enumerate(texts)]

@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batch, bitmap_of, bounded_batches, hot_from, hot_join, in_bitmap, kept_rows, stage, text_key, tidy, unstage, with_row_id
-from .words import mixed, run_hashes, word_hashes
+from .words import SHINGLE, mixed, shingles
 
-SIGNATURE, MATCHES, SHINGLE, PERCENT = 32, 10, 5, 75
+SIGNATURE, MATCHES, PERCENT = 32, 10, 75
 #: Bits of the bitmap that names the rows whose full sets are needed; it only filters.
 BITMAP_BITS = 1 << 22
 #: Posting lists from this length on are long.
@@ -47,15 +47,6 @@ _BLOCK = 4096
 _MIX = 0x5DEECE66D
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a whole text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    own = word_hashes(words)
-    return np.unique(run_hashes(own, SHINGLE) if len(own) >= SHINGLE else run_hashes(own, len(own)) ^ np.uint64(len(own)))
-
-
 def signature(hashes: np.ndarray) -> list[int]:
     """For each of SIGNATURE random orders the smallest value, its upper half tagged with the order's number."""
     least = np.full(SIGNATURE, np.iinfo(np.uint64).max, dtype=np.uint64)

@@ -3,8 +3,8 @@ isotonic calibration.
 
 Statistics of every whole text (shape, repetition, symbols, no identifiers and no labels) are standardised and mapped to
 ``FEATURES`` random cosines, which approximate a Gaussian kernel. Each partition of the training rows sums its normal equations; the
-sums, of fixed size, are added up and solved. Raw scores are calibrated by isotonic regression on binned training scores,
-mixed with a little of the raw rank so that scores of one level still differ.
+sums, of fixed size, are added up and solved, for all rows and for each of two halves. Raw scores are calibrated by isotonic regression on binned
+scores of training rows, each by the half that has not seen it, mixed with a little of the raw rank so that scores of one level still differ.
 
 At most ``TRAIN_ROWS`` labelled rows are used, those of the smallest hash of the id; all else covers all rows.
 
@@ -21,11 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batch, bounded_batches, stage, text_key, tidy, unstage, with_row_id
+from .common import arrow_batch, bounded_batches, fold, labelled_sample, stage, text_key, tidy, unstage, with_row_id
 
 TRAIN_ROWS = 30_000
 FEATURES, RIDGE, WIDTH, BINS = 256, 1e-3, 4.0, 200
@@ -176,6 +176,11 @@ def fit(training: DataFrame) -> Model:
         unstage(staged)
 
 
+def _halves(x: np.ndarray) -> np.ndarray:
+    """0 or 1 for each row, by its statistics, so that equal rows are in one half."""
+    return np.fromiter((zlib.crc32(row.tobytes()) & 1 for row in np.ascontiguousarray(x)), dtype=np.int8, count=len(x))
+
+
 def _fitted(training: DataFrame) -> Model:
     d = N_STATISTICS
     n, positive = training.agg(F.count("*"), F.sum("label")).first()
@@ -192,15 +197,21 @@ def _fitted(training: DataFrame) -> Model:
     args = (model.mean, model.scale, directions, phases)
 
     def normal(x, y):
-        z = features(x, *args)
-        return np.hstack([z.T @ z, (z.T @ y)[:, None]])
+        z, half = features(x, *args), _halves(x)
+        return np.stack([np.hstack([z[half == h].T @ z[half == h], (z[half == h].T @ y[half == h])[:, None]]) for h in (0, 1)])
 
-    equations = _sums(training, normal).reshape(FEATURES + 1, FEATURES + 2)
-    model.weights = np.linalg.solve(equations[:, :-1] + RIDGE * n * np.eye(FEATURES + 1) / FEATURES, equations[:, -1])
+    def solved(equations, rows):
+        return np.linalg.solve(equations[:, :-1] + RIDGE * rows * np.eye(FEATURES + 1) / FEATURES, equations[:, -1])
+
+    equations = _sums(training, normal).reshape(2, FEATURES + 1, FEATURES + 2)
+    model.weights = solved(equations.sum(axis=0), n)
+    halves = [solved(e, max(e[-1, -2], 1.0)) for e in equations]  # the last feature is 1, so its square counts the rows
     inner = np.linspace(-0.25, 1.25, BINS - 1)
 
     def binned(x, y):
-        at = np.searchsorted(inner, features(x, *args) @ model.weights, side="right")
+        z, half = features(x, *args), _halves(x)
+        raw = np.where(half == 0, z @ halves[1], z @ halves[0])  # by the half that has not seen the row
+        at = np.searchsorted(inner, raw, side="right")
         return np.stack([np.bincount(at, minlength=BINS), np.bincount(at, weights=y, minlength=BINS)]).astype(float)
 
     counts = _sums(training, binned).reshape(2, BINS)
@@ -211,16 +222,6 @@ def _fitted(training: DataFrame) -> Model:
     return model
 
 
-def fold(column: str, parts: int) -> Column:
-    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
-
-
-def labelled_sample(labels: DataFrame, label: str, parts: int, left_out: int, rows: int) -> DataFrame:
-    """(doc_id, label) of at most ``rows`` labelled rows outside the fold that is left out, by hash of the id."""
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", parts) != left_out))
-    return usable.select("doc_id", F.col(label).cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-
-
 @tidy
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, left_out: int = 2, threshold: float = 0.7) -> DataFrame:
     """One row per document row: row_id, doc_id, text_key, held_out, score, predicted."""

@@ -28,9 +28,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, bounded_batches, stage, unstage
-from .near_dedup import shingles
-from .quality import fold, labelled_sample
+from .common import arrow_batch, bounded_batches, fold, labelled_sample, stage, tidy, unstage
+from .words import shingles
 
 TRAIN_ROWS = 20_000
 #: A learned unit occurs in so many toxic documents, has such log odds and so many standard deviations more of them than chance gives.
@@ -244,6 +243,7 @@ def _fitted(training: DataFrame) -> Grammar:
     return grammar
 
 
+@tidy
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 3, left_out: int = 1, threshold: float = 0.7) -> DataFrame:
     """One row per document row: doc_id, held_out, score, predicted, n_matches."""
     bounded_batches(docs.sparkSession)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+#: Words of a shingle.
+SHINGLE = 5
 _digest = xxhash.xxh3_64_intdigest
 #: Odd 64-bit multipliers, one for each place of a run, made by a fixed rule.
 PLACES = np.array([xxhash.xxh3_64_intdigest(b"place%d" % i) | 1 for i in range(64)], dtype=np.uint64)
@@ -29,3 +31,12 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out += h[i : i + n] * PLACES[i]
     return mixed(out)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a whole text."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    own = word_hashes(words)
+    return np.unique(run_hashes(own, SHINGLE) if len(own) >= SHINGLE else run_hashes(own, len(own)) ^ np.uint64(len(own)))
