@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions import scripts
-from tracewright.operators import catalogs, rules
+from tracewright.operators import catalogs, graph, models, rules
 from tracewright.plans import workflow
 from tracewright.queries import query, table
 
@@ -334,3 +334,105 @@ def cross_artifact_mapping(spark, sf_dir):
     return workflow.storage_to_sql(storage, relations, physical)
 
 
+# Models and reports
+
+
+_TREE = "ty AS (SELECT n_nationkey AS t, CASE WHEN n_nationkey = 23 THEN 24 WHEN n_nationkey = 24 THEN 23 WHEN n_nationkey > 0 THEN (n_nationkey - 1) // 2 END AS p FROM nation)"
+
+
+def _types(spark, sf_dir):
+    """A heap of types in which 23 and 24 are each other's parents."""
+    k = F.col("n_nationkey")
+    parent = F.when(k == 23, 24).when(k == 24, 23).when(k > 0, F.floor((k - 1) / 2).cast("int"))
+    return table(spark, sf_dir, "nation").select(k.alias("type_id"), parent.alias("parent_id"))
+
+
+def _model(spark, sf_dir):
+    k = F.col("n_nationkey")
+    kind = F.when(k % 3 == 0, F.concat(F.lit("List<"), (k + 1) % 30, F.lit(">"))).otherwise(((k + 2) % 30).cast("string"))
+    fields = table(spark, sf_dir, "nation").select(k.alias("type_id"), F.concat(F.lit("m"), k % 4).alias("member"), kind.alias("declared_type"))
+    return models.declared_model(_types(spark, sf_dir), fields)
+
+
+_EFFECTIVE = f"""WITH RECURSIVE {_TREE}, up AS (SELECT t, t AS d, 0 AS depth FROM ty UNION ALL SELECT up.t, ty.p, depth + 1 FROM up JOIN ty ON ty.t = up.d WHERE ty.p IS NOT NULL AND ty.p <> up.t AND depth < 9),
+ e AS (SELECT up.t, 'm' || (d % 4) AS member, d, depth, row_number() OVER (PARTITION BY up.t, 'm' || (d % 4) ORDER BY depth) AS r FROM up),
+ f AS (SELECT t AS type_id, member, d AS declared_in, depth, CASE WHEN d % 3 = 0 THEN 'List<' || ((d + 1) % 30) || '>' ELSE CAST((d + 2) % 30 AS VARCHAR) END AS declared_type FROM e WHERE r = 1)"""
+
+
+@query(_EFFECTIVE + " SELECT type_id, member, declared_in, declared_type FROM f")
+def declared_fields(spark, sf_dir):
+    return _model(spark, sf_dir)["fields"].select("type_id", "member", "declared_in", "declared_type")
+
+
+@query(_EFFECTIVE + """ SELECT type_id, member, regexp_extract(declared_type, '([0-9]+)', 1) AS target_type, CASE WHEN declared_type LIKE 'List%' THEN 'many' ELSE 'one' END AS cardinality FROM f WHERE CAST(regexp_extract(declared_type, '([0-9]+)', 1) AS INTEGER) < 25""")
+def declared_associations(spark, sf_dir):
+    return _model(spark, sf_dir)["associations"].select("type_id", "member", "target_type", "cardinality")
+
+
+@query("SELECT n_nationkey AS type_id, NULL::VARCHAR AS member, 'inheritance_cycle' AS gap_kind FROM nation WHERE n_nationkey > 22")
+def declared_gaps(spark, sf_dir):
+    return _model(spark, sf_dir)["gaps"]
+
+
+@query(f"""WITH RECURSIVE {_TREE}, up AS (SELECT t, p AS a, 1 AS depth FROM ty WHERE p IS NOT NULL UNION SELECT up.t, ty.p, depth + 1 FROM up JOIN ty ON ty.t = up.a WHERE ty.p IS NOT NULL AND depth < 9), m AS (SELECT t, a, min(depth) AS depth FROM up WHERE t <> a GROUP BY 1, 2)
+ SELECT a AS type_id, count(*) AS n_descendants, max(depth) AS depth FROM m GROUP BY a""")
+def type_descendants(spark, sf_dir):
+    return _model(spark, sf_dir)["descendants"]
+
+
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation UNION SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation WHERE n_nationkey < 15), w AS (SELECT [n_nationkey] AS p, n_nationkey AS cur FROM nation WHERE n_nationkey < 2 UNION ALL SELECT list_append(p, b), b FROM w JOIN e ON a = cur WHERE len(p) < 5 AND NOT list_contains(p, b))
+ SELECT array_to_string(p, '>') AS path, len(p) - 1 AS hops, CASE WHEN len(p) = 5 THEN 'max_hops_reached' ELSE 'cycle_prevented' END AS stop_reason FROM w WHERE len(p) = 5 OR NOT EXISTS (SELECT 1 FROM e WHERE a = cur AND NOT list_contains(p, b))""")
+def type_paths(spark, sf_dir):
+    k = F.col("n_nationkey")
+    n = table(spark, sf_dir, "nation")
+    edges = n.select(k.alias("type_id"), ((k * 3 + 1) % 25).cast("int").alias("target_type")).unionByName(n.where(k < 15).select(k.alias("type_id"), ((k + 5) % 25).cast("int").alias("target_type")))
+    return models.type_paths(edges, n.where(k < 2).select(k.alias("type_id")), 4).select(graph.path_text().alias("path"), "hops", "stop_reason")
+
+
+@query("""SELECT record_kind, status, count(*) AS n FROM (SELECT event_type AS record_kind, CASE WHEN event_type = 'view' THEN CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'missing_k' ELSE 'loaded' END WHEN event_type = 'click' THEN 'missing_absent' ELSE 'unknown_kind' END AS status FROM events) GROUP BY ALL""")
+def storage_semantics(spark, sf_dir):
+    records = table(spark, sf_dir, "events").select(F.col("event_id").alias("record_id"), F.col("event_type").alias("record_kind"), F.col("props").alias("payload"))
+    return models.typed_records(records, {"view": ["k"], "click": ["k", "absent"]}).groupBy("record_kind", "status").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, event_type FROM events WHERE contains(lower(event_type || ' ' || props), '"k": 42}') ORDER BY event_id LIMIT 25""")
+def subject_records(spark, sf_dir):
+    records = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    text = F.lower(F.concat_ws(" ", "event_type", "props"))
+    return records.where(F.contains(text, F.lit('"k": 42}'))).orderBy("event_id").limit(25).select("event_id", "event_type")
+
+
+@query("""WITH a AS (SELECT DISTINCT p_brand AS l, lower(p_brand) AS k FROM part), b AS (SELECT DISTINCT '"BRAND#' || (s_suppkey % 30) || CASE WHEN s_suppkey % 2 = 0 THEN '"' ELSE '" t' END AS r, 'brand#' || (s_suppkey % 30) AS k FROM supplier), n AS (SELECT k, count(*) AS n FROM b GROUP BY k)
+ SELECT l AS left_name, r AS right_name, n AS candidate_count, CASE WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM a JOIN n USING (k) JOIN b USING (k)""")
+def name_correspondences(spark, sf_dir):
+    s = F.col("s_suppkey")
+    right = table(spark, sf_dir, "supplier").select(F.concat(F.lit('"BRAND#'), s % 30, F.when(s % 2 == 0, '"').otherwise('" t')).alias("name"))
+    return models.correspondences(table(spark, sf_dir, "part"), right, "p_brand", "name")
+
+
+@query("""WITH s AS (SELECT s_nationkey, CASE s_suppkey % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'probable' WHEN 2 THEN 'ambiguity' ELSE 'unresolved' END AS usefulness, 'm' || (s_suppkey % 3) AS method, CASE s_suppkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 4 ELSE 5 END AS r FROM supplier), b AS (SELECT *, min(r) OVER (PARTITION BY s_nationkey) AS b FROM s)
+ SELECT s_nationkey, count(*) AS n_joins, count(*) FILTER (WHERE usefulness = 'confirmed') AS confirmed, CAST(0 AS BIGINT) AS strongly_supported, count(*) FILTER (WHERE usefulness = 'probable') AS probable, count(*) FILTER (WHERE usefulness = 'ambiguity') AS ambiguity, count(*) FILTER (WHERE usefulness = 'unresolved') AS unresolved,
+ min(usefulness) FILTER (WHERE r = b) AS best, string_agg(DISTINCT method, ',' ORDER BY method) FILTER (WHERE r = b) AS best_methods FROM b GROUP BY s_nationkey""")
+def extension_context(spark, sf_dir):
+    k = F.col("s_suppkey")
+    use = F.element_at(F.array(*[F.lit(u) for u in ("confirmed", "probable", "ambiguity", "unresolved")]), (k % 4 + 1).cast("int"))
+    joined = table(spark, sf_dir, "supplier").select("s_nationkey", use.alias("usefulness"), F.concat(F.lit("m"), k % 3).alias("method"))
+    return models.extension_context(joined, "s_nationkey")
+
+
+@query("""WITH c AS (SELECT c_nationkey AS repo_id, count(*) AS n_calls, count(*) FILTER (WHERE o_orderstatus <> 'F') AS n_unmatched FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1) SELECT repo_id, n_calls, n_unmatched, round(n_unmatched / n_calls, 6) AS share FROM c WHERE n_unmatched > 0""")
+def report_interactions(spark, sf_dir):
+    calls = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("interface_id"), F.col("c_nationkey").alias("repo_id"), F.when(F.col("o_orderstatus") == "F", "matched").otherwise("unresolved").alias("status"))
+    return models.unmatched_interactions(calls.drop("status"), calls)
+
+
+@query("""SELECT *, CAST(sum(n) OVER (PARTITION BY section) AS BIGINT) AS whole, 'line_' || substr(sha256(section || chr(31) || status), 1, 20) AS line_id FROM (SELECT c_mktsegment AS section, o_orderstatus AS status, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)""")
+def report_statuses(spark, sf_dir):
+    both = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    return models.status_report(both.select(F.col("c_mktsegment").alias("section"), F.col("o_orderstatus").alias("status")), "section", "status")
+
+
+@query("""SELECT 'fact' AS entry, 'parts' AS kind, count(*) AS n, NULL AS limitation FROM part UNION ALL SELECT 'fact', 'suppliers', count(*), NULL FROM supplier UNION ALL SELECT 'gap', event_type, count(*), CASE event_type WHEN 'error' THEN 'source_failed' ELSE 'unclassified' END FROM events WHERE event_type IN ('error', 'click') GROUP BY event_type""")
+def analysis_coverage(spark, sf_dir):
+    gaps = table(spark, sf_dir, "events").where("event_type in ('error', 'click')").select(F.col("event_type").alias("gap_kind"))
+    return models.analysis_coverage({"parts": table(spark, sf_dir, "part"), "suppliers": table(spark, sf_dir, "supplier")}, gaps, {"error": "source_failed"})

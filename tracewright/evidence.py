@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright import lineage_rows as rows
-from tracewright.operators import rules
+from tracewright.operators import models, rules
 from tracewright.plans import lineage, workflow
 from tracewright.queries import expects, query
 from tracewright.streaming import events
@@ -163,6 +163,39 @@ def sql_relation_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("relation_name", kind.alias("relation_kind"), role.alias("r")).select("relation_name", "relation_kind", "r.*")
 
 
+@expects(
+    "relation_name role confidence n_reads:BIGINT n_files:BIGINT",
+    "('${env}.final', 'output_target', 'confirmed', 0, 0), ('customer', 'external_source', 'confirmed', 1, 1), ('lineitem', 'external_source', 'confirmed', 1, 1), ('mart.u', 'output_target', 'confirmed', 0, 0), ('mart.v', 'output_target', 'confirmed', 0, 0), ('mart.y', 'output_target', 'confirmed', 0, 0), "
+    "('mart.z', 'output_target', 'confirmed', 0, 0), ('orders', 'external_source', 'confirmed', 1, 1), ('raw.p', 'external_source', 'confirmed', 2, 1), ('raw.q', 'external_source', 'confirmed', 2, 1), ('raw.unknown', 'external_source', 'confirmed', 1, 1), ('supplier', 'external_source', 'confirmed', 1, 1)",
+)
+def sql_source_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of business interest, with who reads them."""
+    return models.source_inventory(_placed(spark, "relations", "relation_name"), sql_relation_roles(spark, sf_dir))
+
+
+@expects(
+    "target n_statements:BIGINT n_columns:BIGINT sources joins",
+    "('${env}.final', 1, 3, 'mart.report', ''), ('mart.big_orders', 1, 4, 'customer,orders', 'customer.c_custkey=o.o_custkey'), ('mart.c', 2, 2, '', ''), ('mart.k', 1, 2, '', ''), ('mart.lines', 1, 2, 'lineitem', ''), ('mart.report', 1, 3, 'mart.big_orders,mart.lines,supplier', 'mart.lines.orderkey=mart.big_orders.o_orderkey'), "
+    "('mart.v', 1, 1, '', 'raw.p.k=raw.q.k'), ('mart.x', 1, 2, 'stage.b', ''), ('mart.y', 1, 3, 'mart.x', ''), ('mart.z', 1, 0, '', '')",
+)
+def sql_insertion_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a new attribute of each target has to fit."""
+    facts = _facts(spark)
+    return models.insertion_context(facts["recursive"], facts["joins"], facts["statements"])
+
+
+@expects(
+    "workflow target target_column terminal_kind source_relation source_column branches n_statements:BIGINT complete:BOOLEAN",
+    "('w', 'mart.report', 'name', 'column', 'mart.big_orders', 'c_name', '0', 1, true), ('w', 'mart.report', 'name', 'column', 'supplier', 's_name', '1', 1, true), ('w', 'mart.report', 'revenue', 'column', 'mart.lines', 'revenue', '0', 1, true), "
+    "('w', 'mart.report', 'revenue', 'column', 'supplier', 's_acctbal', '1', 1, true), ('w', 'mart.report', 'segment', 'column', 'mart.big_orders', 'segment', '0', 1, true), ('w', 'mart.report', 'segment', 'expression_without_column', NULL, '''none''', '1', 1, true)",
+)
+def sql_workflow_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineage of a workflow that runs the report alone."""
+    facts = _facts(spark)
+    runs = facts["statements"].where("target = 'mart.report'").select(F.lit("w").alias("workflow"), "statement_id")
+    return workflow.target_lineage(facts["recursive"], runs).drop("lineage_id")
+
+
 @query("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n_events, round(sum(value), 2) AS total FROM events GROUP BY ALL""")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = events.windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))

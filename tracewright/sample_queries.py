@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import ids, scripts, search, sqltext
-from tracewright.operators import graph, interactions, mapping, valueflow
+from tracewright.operators import graph, interactions, mapping, models, valueflow
 from tracewright.plans import paging
 from tracewright.queries import expects, query, table
 from tracewright.sources import catalog, code, files, products, values
@@ -59,6 +59,11 @@ def eligible_files(spark, sf_dir):
     return files.eligible(_files(spark)).select("path")
 
 
+@expects("suffix folder n_files:BIGINT", "('sql', 'sql', 2), ('yaml', 'conf', 1), ('properties', 'conf', 1), ('json', 'conf', 2), ('yaml', 'db', 1), ('py', 'src', 1), ('java', 'src', 3), ('json', 'api', 1), ('gradle', '.', 1), ('pdm', 'model', 1), ('', '.', 1), ('md', '.', 1), ('csv', '.', 1)")
+def repository_inventory(spark, sf_dir):
+    return models.inventory(_files(spark).withColumn("size", F.length("text"))).drop("bytes")
+
+
 @expects("maven:BOOLEAN gradle:BOOLEAN java:BOOLEAN python:BOOLEAN sql:BOOLEAN migrations:BOOLEAN openapi:BOOLEAN", "(false, true, true, true, true, false, true)")
 def stack_detection(spark, sf_dir):
     return files.detect_stack(_files(spark))
