@@ -49,10 +49,10 @@ def candidates(outbound: DataFrame, inbound: DataFrame) -> DataFrame:
         hits = calls.join(routes, on & other & method)
         if not keys:
             hits = hits.where("path_rank = 3")
-        hits = hits.select("interface_id", "target_id", F.lit(tier).alias("tier"), F.lit(_ADDRESS[name]).alias("address_rank"), "path_rank")
+        hits = hits.groupBy("interface_id", "target_id").agg(F.max("path_rank").alias("path_rank")).select("interface_id", "target_id", F.lit(tier).alias("tier"), F.lit(_ADDRESS[name]).alias("address_rank"), "path_rank")
         found = hits if found is None else found.unionByName(hits)
-    best = found.groupBy("interface_id").agg(F.min("tier").alias("tier"))
-    return found.join(best, ["interface_id", "tier"]).groupBy("interface_id", "target_id", "tier", "address_rank").agg(F.max("path_rank").alias("path_rank"))
+        calls = calls.join(hits.select("interface_id").distinct(), "interface_id", "left_anti")  # later tiers are for what is left
+    return found
 
 
 def match(outbound: DataFrame, inbound: DataFrame) -> DataFrame:

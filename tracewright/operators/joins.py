@@ -65,15 +65,15 @@ def first_tier(facts: DataFrame, fact_id: str, tiers: Sequence[tuple[str, DataFr
     ``tiers`` are (name, targets with the join columns and ``target``, join columns), best first. ``exclude`` drops candidates,
     such as those of the fact's own repository, before the tier is chosen.
     """
-    found = None
+    found, rest = None, facts.where(F.col(fact_id).isNotNull())
     for rank, (name, targets, keys) in enumerate(tiers, 1):
-        hits = facts.join(targets, list(keys))
+        hits = rest.join(targets, list(keys))
         if exclude is not None:
             hits = hits.where(~exclude)
         hits = hits.select(fact_id, F.col(target).alias("target_id"), F.lit(rank).alias("tier"), F.lit(name).alias("tier_name")).distinct()
         found = hits if found is None else found.unionByName(hits)
-    best = found.groupBy(fact_id).agg(F.min("tier").alias("tier"))
-    return found.join(best, [fact_id, "tier"])
+        rest = rest.join(hits.select(fact_id).distinct(), fact_id, "left_anti")  # later tiers are for what is left
+    return found
 
 
 def first_tier_counts(facts: DataFrame, fact_id: str, tiers: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
