@@ -89,10 +89,10 @@ def er_edges(spark, sf_dir):
     return catalogs.er_view(references)[1].drop("edge_id")
 
 
-@query("""WITH RECURSIVE r AS (SELECT n_nationkey AS o, n_nationkey + 6 AS n FROM nation WHERE n_nationkey < 19), w AS (SELECT o AS start, n AS "end", 1 AS steps FROM r WHERE o NOT IN (SELECT n FROM r) UNION ALL SELECT w.start, r.n, steps + 1 FROM w JOIN r ON r.o = w."end")
+@query("""WITH RECURSIVE r AS (SELECT n_nationkey AS o, n_nationkey + 6 AS n FROM nation), w AS (SELECT o AS start, n AS "end", 1 AS steps FROM r WHERE o NOT IN (SELECT n FROM r) UNION ALL SELECT w.start, r.n, steps + 1 FROM w JOIN r ON r.o = w."end")
  SELECT start, "end", steps FROM w WHERE "end" NOT IN (SELECT o FROM r)""")
 def rename_chains(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation").where("n_nationkey < 19")
+    nation = table(spark, sf_dir, "nation")
     return catalogs.rename_chains(nation.select(F.col("n_nationkey").alias("old_name"), (F.col("n_nationkey") + 6).alias("new_name")))
 
 
@@ -103,16 +103,16 @@ def change_impact(spark, sf_dir):
     return catalogs.change_summary(table(spark, sf_dir, "part").select(F.col("p_brand").alias("kind"), change.alias("change")), "kind")
 
 
-@query("""WITH RECURSIVE calls AS (SELECT n_nationkey AS a, (n_nationkey * 2 + 1) % 25 AS b FROM nation WHERE n_nationkey % 5 <> 0), w AS (SELECT n_nationkey AS s, n_nationkey AS cur, 0 AS h FROM nation WHERE n_nationkey < 12 UNION SELECT s, b, h + 1 FROM w JOIN calls ON a = cur WHERE h < 4),
- wr AS (SELECT s, n_regionkey AS store, min(h) AS hops FROM w JOIN nation ON n_nationkey = cur WHERE n_nationkey % 4 = 0 GROUP BY 1, 2), rd AS (SELECT n_regionkey AS store, count(*) AS n FROM nation WHERE n_nationkey % 7 = 3 GROUP BY 1)
+@query("""WITH RECURSIVE calls AS (SELECT n_nationkey AS a, (n_nationkey * 2 + 1) % 25 AS b FROM nation), w AS (SELECT n_nationkey AS s, n_nationkey AS cur, 0 AS h FROM nation UNION SELECT s, b, h + 1 FROM w JOIN calls ON a = cur WHERE h < 4),
+ wr AS (SELECT s, 's' || s_nationkey AS store, min(h) AS hops FROM w JOIN supplier ON s_nationkey = cur GROUP BY 1, 2), rd AS (SELECT 's' || (c_nationkey * 2) AS store, count(DISTINCT c_nationkey) AS n FROM customer GROUP BY 1)
  SELECT n_nationkey AS ingress, wr.store, wr.hops, coalesce(rd.n, 0) AS n_readers, CASE WHEN wr.store IS NOT NULL AND rd.n > 0 THEN 'complete' WHEN wr.store IS NOT NULL THEN 'written' WHEN n_nationkey IN (SELECT s FROM w WHERE h > 0 AND cur <> s) THEN 'called' ELSE 'open' END AS maturity
- FROM nation LEFT JOIN wr ON s = n_nationkey LEFT JOIN rd USING (store) WHERE n_nationkey < 12""")
+ FROM nation LEFT JOIN wr ON s = n_nationkey LEFT JOIN rd USING (store)""")
 def persistence_cases(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    k = F.col("n_nationkey")
-    calls = n.where(k % 5 != 0).select(k.alias("caller"), ((k * 2 + 1) % 25).cast("int").alias("callee"))
-    writes, reads = (n.where(test).select(k.alias("operation"), F.col("n_regionkey").alias("store")) for test in (k % 4 == 0, k % 7 == 3))
-    return catalogs.persistence_cases(n.where(k < 12).select(k.alias("operation")), calls, writes, reads)
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    calls = n.select(k.alias("caller"), ((k * 2 + 1) % 25).cast("int").alias("callee"))
+    writes = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("operation"), F.concat(F.lit("s"), "s_nationkey").alias("store"))
+    reads = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("operation"), F.concat(F.lit("s"), F.col("c_nationkey") * 2).alias("store"))
+    return catalogs.persistence_cases(n.select(k.alias("operation")), calls, writes, reads)
 
 
 @query("""SELECT section, place, item, domain, n_items, n_domains FROM (SELECT r_name AS section, row_number() OVER (PARTITION BY r_name ORDER BY n_name, n_nationkey) AS place, n_name AS item, n_nationkey AS domain, count(*) OVER (PARTITION BY r_name) AS n_items, count(*) OVER (PARTITION BY r_name) AS n_domains FROM nation JOIN region ON r_regionkey = n_regionkey) WHERE place <= 3""")
@@ -137,12 +137,11 @@ def report_system_description(spark, sf_dir):
     return catalogs.report_sections(both.select(F.col("r_name").alias("section"), F.col("c_mktsegment").alias("item")), "section", F.count("*"), "item", 4)
 
 
-@query("""WITH b AS (SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey % 5 <> 0), a AS (SELECT s_suppkey, s_name, s_acctbal + s_suppkey % 2 AS s_acctbal FROM supplier WHERE s_suppkey % 7 <> 0)
- SELECT coalesce(b.s_suppkey, a.s_suppkey) AS s_suppkey, CASE WHEN b.s_suppkey IS NULL THEN 'added' WHEN a.s_suppkey IS NULL THEN 'removed' WHEN a.s_acctbal = b.s_acctbal THEN 'same' ELSE 'changed' END AS state FROM b FULL JOIN a ON a.s_suppkey = b.s_suppkey""")
+@query("""WITH b AS (SELECT s_suppkey AS k, s_nationkey AS v FROM supplier), a AS (SELECT c_custkey AS k, c_nationkey AS v FROM customer) SELECT coalesce(b.k, a.k) AS k, CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed' WHEN a.v = b.v THEN 'same' ELSE 'changed' END AS state FROM b FULL JOIN a ON a.k = b.k""")
 def compare_reports(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    k = F.col("s_suppkey")
-    return catalogs.compare_reports(s.where(k % 5 != 0), s.where(k % 7 != 0).withColumn("s_acctbal", F.col("s_acctbal") + k % 2), ["s_suppkey"])
+    before = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("v"))
+    after = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("v"))
+    return catalogs.compare_reports(before, after, ["k"])
 
 
 @query("""SELECT n_nationkey AS node, CASE WHEN n_nationkey < 23 THEN CAST(floor(log2(n_nationkey + 1)) AS INTEGER) END AS level FROM nation""")
@@ -154,11 +153,10 @@ def plan_order(spark, sf_dir):
     return catalogs.topological_order(n.select(k.alias("node")), needs.unionByName(circle))
 
 
-@query("""SELECT s_suppkey AS product_id, s_nationkey AS source_id, CASE WHEN n_nationkey IS NULL THEN 'source_unavailable' WHEN s_suppkey % 3 = n_nationkey % 3 THEN 'up_to_date' ELSE 'update_available' END AS freshness_status FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 0) ON n_nationkey = s_nationkey""")
+@query("""SELECT c_custkey AS product_id, c_custkey AS source_id, CASE WHEN s_suppkey IS NULL THEN 'source_unavailable' WHEN c_nationkey = s_nationkey THEN 'up_to_date' ELSE 'update_available' END AS freshness_status FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey""")
 def freshness(spark, sf_dir):
-    published = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("product_id"), F.col("s_nationkey").alias("source_id"), (F.col("s_suppkey") % 3).alias("snapshot"))
-    sources = table(spark, sf_dir, "nation").where("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("source_id"), (F.col("n_nationkey") % 3).cast("long").alias("snapshot"))
-    return catalogs.freshness(published, sources)
+    published = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("product_id"), F.col("c_custkey").alias("source_id"), F.col("c_nationkey").alias("snapshot"))
+    return catalogs.freshness(published, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_nationkey").alias("snapshot")))
 
 
 @query("""SELECT user_id, event_type, event_id, n - 1 AS n_replaced FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE r = 1""")
@@ -225,21 +223,23 @@ def occurrence_graph(spark, sf_dir):
     return catalogs.occurrence_graph(e.select(F.col("user_id").alias("object_id"), F.when(named, F.col("event_type")).alias("file"), F.when(named & (F.col("event_id") % 4 == 1), F.col("event_id")).alias("line")))
 
 
-@query("""WITH f AS (SELECT p_partkey AS type_id, p_name AS field, (p_partkey * 3) % 300 AS target_type, p_type AS cardinality FROM part), s AS (SELECT l_partkey AS type_id, count(DISTINCT l_returnflag) AS n, min(l_returnflag) AS sole FROM lineitem WHERE l_quantity > 45 GROUP BY 1), d AS (
+@query("""WITH f AS (SELECT p_partkey AS type_id, p_name AS field, (p_partkey * 3) % 300 AS target_type, p_type AS cardinality FROM part), s AS (SELECT c_custkey % 700 AS type_id, count(DISTINCT c_mktsegment) AS n, min(c_mktsegment) AS sole FROM customer GROUP BY 1), d AS (
  SELECT f.*, n, sole, CASE WHEN t.p_partkey IS NULL THEN 'target_type_unknown' WHEN n IS NULL THEN 'storage_evidence_missing' WHEN n > 1 THEN 'several_storage_kinds' ELSE 'stored' END AS diagnosis FROM f LEFT JOIN part t ON t.p_partkey = target_type LEFT JOIN s ON s.type_id = f.type_id)
  SELECT type_id, field, target_type, cardinality, CASE WHEN diagnosis = 'stored' THEN sole END AS storage_kind, diagnosis FROM d""")
 def relationship_diagnosis(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     fields = part.select(F.col("p_partkey").alias("type_id"), F.col("p_name").alias("field"), ((F.col("p_partkey") * 3) % 300).alias("target_type"), F.col("p_type").alias("cardinality"))
-    kept = table(spark, sf_dir, "lineitem").where("l_quantity > 45").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_partkey").alias("type_id"), F.col("p_name").alias("field"), F.col("l_returnflag").alias("storage_kind"))
+    kept = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 700).alias("type_id"), F.col("c_mktsegment").alias("storage_kind"))
+    kept = kept.join(fields.select("type_id", "field"), "type_id")
     return catalogs.relationships(fields, part.select(F.col("p_partkey").alias("type_id")), kept).drop("relationship_id")
 
 
-@query("""WITH u AS (SELECT l_partkey AS object_id, count(*) FILTER (WHERE l_returnflag = 'A') AS n_reads, count(*) FILTER (WHERE l_returnflag = 'R') AS n_writes FROM lineitem WHERE l_quantity > 44 AND l_returnflag <> 'N' GROUP BY 1), d AS (SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0)
- SELECT coalesce(p_partkey, object_id) AS object_id, coalesce(n_reads, 0) AS n_reads, coalesce(n_writes, 0) AS n_writes, CASE WHEN p_partkey IS NULL THEN 'undeclared' WHEN n_reads > 0 AND n_writes > 0 THEN 'used' WHEN n_writes > 0 THEN 'written_only' WHEN n_reads > 0 THEN 'read_only' ELSE 'unused' END AS status FROM d FULL JOIN u ON object_id = p_partkey""")
+@query("""WITH u AS (SELECT o_custkey + 5 AS object_id, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_reads, count(*) FILTER (WHERE o_orderstatus = 'P') AS n_writes FROM orders GROUP BY 1)
+ SELECT coalesce(c_custkey, object_id) AS object_id, coalesce(n_reads, 0) AS n_reads, coalesce(n_writes, 0) AS n_writes, CASE WHEN c_custkey IS NULL THEN 'undeclared' WHEN n_reads > 0 AND n_writes > 0 THEN 'used' WHEN n_writes > 0 THEN 'written_only' WHEN n_reads > 0 THEN 'read_only' ELSE 'unused' END AS status FROM customer FULL JOIN u ON object_id = c_custkey""")
 def storage_usage(spark, sf_dir):
-    used = table(spark, sf_dir, "lineitem").where("l_quantity > 44 AND l_returnflag <> 'N'").select(F.col("l_partkey").alias("object_id"), F.when(F.col("l_returnflag") == "A", "read").otherwise("write").alias("access"))
-    return catalogs.storage_usage(table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("object_id")), used)
+    access = F.when(F.col("o_orderstatus") == "F", "read").when(F.col("o_orderstatus") == "P", "write").otherwise("none")
+    used = table(spark, sf_dir, "orders").select((F.col("o_custkey") + 5).alias("object_id"), access.alias("access"))
+    return catalogs.storage_usage(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("object_id")), used)
 
 
 @query("""WITH s AS (SELECT l_suppkey, count(*) FILTER (WHERE l_quantity = 50) AS c, count(*) FILTER (WHERE l_quantity = 49) AS d, count(*) FILTER (WHERE l_quantity = 48) AS t FROM lineitem GROUP BY 1), m AS (SELECT *, CASE WHEN l_suppkey % 11 = 0 THEN 'resolve_reference_collection' WHEN l_suppkey % 7 = 0 THEN 'derive_source_identity_from_target_key'
@@ -297,12 +297,11 @@ def template_files(spark, sf_dir):
     return scripts.match_files(templates, files)
 
 
-@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey + 3) % 25 AS b FROM nation), w AS (SELECT n_nationkey AS workflow, n_nationkey AS file, 0 AS hops FROM nation WHERE n_nationkey < 2 UNION SELECT workflow, b, hops + 1 FROM w JOIN e ON a = file WHERE hops < 12)
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey + 3) % 25 AS b FROM nation), w AS (SELECT n_nationkey AS workflow, n_nationkey AS file, 0 AS hops FROM nation UNION SELECT workflow, b, hops + 1 FROM w JOIN e ON a = file WHERE hops < 12)
  SELECT workflow, file, min(hops) AS hops FROM w GROUP BY 1, 2""")
 def workflow_files(spark, sf_dir):
-    k = F.col("n_nationkey")
-    n = table(spark, sf_dir, "nation")
-    return workflow.reachable_files(n.select(k.alias("source_file"), ((k + 3) % 25).cast("int").alias("target_file")), n.where(k < 2).select(k.alias("workflow")))
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    return workflow.reachable_files(n.select(k.alias("source_file"), ((k + 3) % 25).cast("int").alias("target_file")), n.select(k.alias("workflow")))
 
 
 @query("""WITH u AS (SELECT DISTINCT c_nationkey AS workflow, c_mktsegment AS context, 'p' || (c_custkey % 4) AS name FROM customer), b AS (SELECT DISTINCT s_nationkey AS workflow, CASE WHEN s_suppkey % 3 = 0 THEN 'BUILDING' ELSE 'x' END AS context, 'p' || (s_suppkey % 4) AS name, 'v' || (s_suppkey % 2) AS value FROM supplier),
@@ -316,21 +315,21 @@ def placeholder_values(spark, sf_dir):
     return workflow.resolve_placeholders(uses, bindings)
 
 
-@query("""SELECT n_nationkey AS workflow, 'c' AS context, 'select ${a} from ${B}.t where ${c}' AS template, 'select ' || CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE '${a}' END || ' from mart.t where ${c}' AS filled FROM nation""")
+@query("""SELECT n_nationkey AS workflow, 'c' AS context, 'select ${a} from ${B}.t where ${c}' AS template, 'select ' || CASE WHEN n_regionkey < 3 THEN n_name ELSE '${a}' END || ' from mart.t where ${c}' AS filled FROM nation""")
 def filled_templates(spark, sf_dir):
     n = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "workflow")
     rows = n.select("workflow", F.lit("c").alias("context"), F.lit("select ${a} from ${B}.t where ${c}").alias("template"))
-    given = n.where("workflow % 2 = 0").select("workflow", F.lit("c").alias("context"), F.lit("a").alias("name"), F.col("n_name").alias("value"))
-    given = given.unionByName(n.select("workflow", F.lit("c").alias("context"), F.lit("b").alias("name"), F.lit("mart").alias("value")))
-    return workflow.fill_templates(rows, given.withColumn("status", F.lit("resolved")), "template")
+    named = n.select("workflow", F.lit("c").alias("context"), F.lit("a").alias("name"), F.when(F.col("n_regionkey") < 3, F.col("n_name")).alias("value"))
+    given = named.unionByName(n.select("workflow", F.lit("c").alias("context"), F.lit("b").alias("name"), F.lit("mart").alias("value")))
+    return workflow.fill_templates(rows, given.withColumn("status", F.when(F.col("value").isNull(), "unresolved").otherwise("resolved")), "template")
 
 
-@query("""WITH p AS (SELECT p_partkey AS object_id, lower(p_brand) AS k FROM part), r AS (SELECT 'brand#' || (n_nationkey * 2) AS k, count(*) AS n FROM nation GROUP BY 1), t AS (SELECT 'brand#' || (s_suppkey % 40) AS k, count(*) AS n, min(s_suppkey) AS sole FROM supplier WHERE s_suppkey < 60 GROUP BY 1)
+@query("""WITH p AS (SELECT p_partkey AS object_id, lower(p_brand) AS k FROM part), r AS (SELECT 'brand#' || (n_nationkey * 2) AS k, count(*) AS n FROM nation GROUP BY 1), t AS (SELECT 'brand#' || (c_custkey * 3 // 2) AS k, count(*) AS n, min(c_custkey) AS sole FROM customer GROUP BY 1)
  SELECT object_id, CASE WHEN t.n > 1 THEN 'ambiguous' WHEN t.n = 1 AND r.n > 0 THEN 'matched' WHEN t.n = 1 THEN 'stored_not_read' WHEN r.n > 0 THEN 'read_not_stored' ELSE 'unresolved' END AS status, coalesce(r.n, 0) AS n_reads, coalesce(t.n, 0) AS n_tables, CASE WHEN t.n = 1 THEN sole END AS table_id FROM p LEFT JOIN r USING (k) LEFT JOIN t USING (k)""")
 def cross_artifact_mapping(spark, sf_dir):
     storage = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("object_id"), F.col("p_brand").alias("table_name"))
     relations = table(spark, sf_dir, "nation").select(F.concat(F.lit("BRAND#"), F.col("n_nationkey") * 2).alias("relation_name"))
-    physical = table(spark, sf_dir, "supplier").where("s_suppkey < 60").select(F.col("s_suppkey").alias("table_id"), F.concat(F.lit('"Brand#'), F.col("s_suppkey") % 40, F.lit('"')).alias("name"))
+    physical = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("table_id"), F.concat(F.lit('"Brand#'), F.floor(F.col("c_custkey") * 3 / 2), F.lit('"')).alias("name"))
     return workflow.storage_to_sql(storage, relations, physical)
 
 
@@ -380,13 +379,12 @@ def type_descendants(spark, sf_dir):
     return _model(spark, sf_dir)["descendants"]
 
 
-@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation UNION SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation WHERE n_nationkey < 15), w AS (SELECT [n_nationkey] AS p, n_nationkey AS cur FROM nation WHERE n_nationkey < 2 UNION ALL SELECT list_append(p, b), b FROM w JOIN e ON a = cur WHERE len(p) < 5 AND NOT list_contains(p, b))
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation UNION SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation), w AS (SELECT [n_nationkey] AS p, n_nationkey AS cur FROM nation UNION ALL SELECT list_append(p, b), b FROM w JOIN e ON a = cur WHERE len(p) < 5 AND NOT list_contains(p, b))
  SELECT array_to_string(p, '>') AS path, len(p) - 1 AS hops, CASE WHEN len(p) = 5 THEN 'max_hops_reached' ELSE 'cycle_prevented' END AS stop_reason FROM w WHERE len(p) = 5 OR NOT EXISTS (SELECT 1 FROM e WHERE a = cur AND NOT list_contains(p, b))""")
 def type_paths(spark, sf_dir):
-    k = F.col("n_nationkey")
-    n = table(spark, sf_dir, "nation")
-    edges = n.select(k.alias("type_id"), ((k * 3 + 1) % 25).cast("int").alias("target_type")).unionByName(n.where(k < 15).select(k.alias("type_id"), ((k + 5) % 25).cast("int").alias("target_type")))
-    return models.type_paths(edges, n.where(k < 2).select(k.alias("type_id")), 4).select(graph.path_text().alias("path"), "hops", "stop_reason")
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    edges = n.select(k.alias("type_id"), ((k * 3 + 1) % 25).cast("int").alias("target_type")).unionByName(n.select(k.alias("type_id"), ((k + 5) % 25).cast("int").alias("target_type")))
+    return models.type_paths(edges, n.select(k.alias("type_id")), 4).select(graph.path_text().alias("path"), "hops", "stop_reason")
 
 
 @query("""SELECT record_kind, status, count(*) AS n FROM (SELECT event_type AS record_kind, CASE WHEN event_type = 'view' THEN CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'missing_k' ELSE 'loaded' END WHEN event_type = 'click' THEN 'missing_absent' ELSE 'unknown_kind' END AS status FROM events) GROUP BY ALL""")
