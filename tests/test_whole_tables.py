@@ -1,8 +1,10 @@
 """Registered queries over whole tables, against brute force."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright import queries
+from tracewright.operators import catalogs, joins
 
 
 @pytest.fixture
@@ -80,3 +82,24 @@ def test_declared_keys_need_columns_not_rows(spark, tmp_path):
     for name, schema, want in (("all", "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long", ["part", "pk"]), ("less", "l_orderkey long, l_partkey long", ["part"])):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
         assert sorted(r.key_id for r in queries.queries()["declared_key_match"](spark, f"{tmp_path}/{name}").collect()) == want
+
+
+def test_partitions_of_one_parent_meet_in_several_tasks(spark, monkeypatch):
+    for name, n in (("BLOCK_ROWS", 100), ("TASK_PAIRS", 20_000)):
+        monkeypatch.setattr(joins, name, n, raising=False)
+    children = spark.range(600).select(F.concat(F.lit("p"), "id").alias("child"), F.floor(F.col("id") / 1000).alias("parent")).coalesce(1)
+    columns = spark.range(900).select(F.floor(F.col("id") / 1000).alias("table_name"), F.col("id").alias("column_name")).coalesce(1)
+    per_task = [r.n for r in catalogs.partition_children(children, columns).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(per_task) == 540_000 and max(per_task) < 200_000, per_task
+
+
+def test_blocks_of_rows_meet_once(spark, saved, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 5)
+    monkeypatch.setattr(joins, "TASK_ROWS", 7)
+    suppliers = [(i, i % 3) for i in range(11)] + [(3, 0), (3, 0), (None, 1), (50, None), (51, 8), (52, 9)]
+    customers = [(i, i % 4) for i in range(17)] + [(4, 0), (None, 2), (60, None), (61, 9), (61, 9)]
+    at = saved(supplier=(suppliers, "s_suppkey long, s_nationkey int"), customer=(customers, "c_custkey long, c_nationkey int"))
+    got = queries.queries()["partition_columns"](spark, at)
+    want = [(None if s is None else f"p{s}", c) for s, n in suppliers for c, m in customers if n is not None and n == m]
+    assert got.columns == ["table_name", "column_name"] and sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
