@@ -103,3 +103,20 @@ def test_blocks_of_rows_meet_once(spark, saved, monkeypatch):
     got = queries.queries()["partition_columns"](spark, at)
     want = [(None if s is None else f"p{s}", c) for s, n in suppliers for c, m in customers if n is not None and n == m]
     assert got.columns == ["table_name", "column_name"] and sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def _per_task(df):
+    return [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+
+
+def test_edges_are_dealt_by_their_number(spark, saved, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_ROWS", 100, raising=False)
+    orders = [(o, o % 40) for o in range(400)] + [(7, 7), (7, 9), (8, None), (None, 1), (500, 2)]
+    lines = [(k % 400, k * 7 % 30) for k in range(1500)] + [(8, None), (None, 3), (501, 3)]
+    suppliers = [(s, 9000.0 if s % 3 == 0 else 100.0) for s in range(30)] + [(3, 8000.0), (None, 9000.0)]
+    at = saved(orders=(orders, "o_orderkey long, o_custkey long"), lineitem=(lines, "l_orderkey long, l_suppkey long"), supplier=(suppliers, "s_suppkey long, s_acctbal double"))
+    got = queries.queries()["either_endpoint"](spark, at)
+    good = {s for s, balance in suppliers if balance > 5000 and s is not None}
+    want = {(o, c, s) for o, c in orders for k, s in lines if o is not None and o == k and (c in good or s in good)}
+    assert got.columns == ["o_orderkey", "o_custkey", "l_suppkey"] and sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert max(_per_task(got)) < len(want) / 3

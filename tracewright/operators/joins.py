@@ -123,6 +123,11 @@ def covered_keys(pairs: DataFrame, declared: DataFrame, group: Sequence[str]) ->
     return declared.join(used, list(group)).where(F.size(F.array_except("key_columns", "used_columns")) == 0)
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` over so many tasks that each gets about TASK_ROWS of ``rows``: what a task sorts or keeps doesn't grow with the table."""
+    return df.repartition(rows // TASK_ROWS + 1, *keys)
+
+
 def block_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Inner join on few keys that have many rows on both sides, whose result is far larger than its inputs.
 

@@ -231,7 +231,10 @@ def orphans(spark, sf_dir):
 
 @query("""SELECT DISTINCT o_orderkey, o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000) OR l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)""")
 def either_endpoint(spark, sf_dir):
-    edges = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "o_custkey", "l_suppkey").distinct()
+    orders, lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    n = orders.count() + lines.count()
+    ends = joins.dealt(orders, n, "o_orderkey").distinct(), joins.dealt(lines, n, "l_orderkey").distinct()
+    edges = ends[0].join(ends[1], F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey")
     return joins.either_endpoint(edges, table(spark, sf_dir, "supplier").where("s_acctbal > 5000"), "o_custkey", "l_suppkey", "s_suppkey")
 
 
