@@ -1,5 +1,7 @@
 """Registered queries over whole tables, against brute force."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +122,22 @@ def test_edges_are_dealt_by_their_number(spark, saved, monkeypatch):
     want = {(o, c, s) for o, c in orders for k, s in lines if o is not None and o == k and (c in good or s in good)}
     assert got.columns == ["o_orderkey", "o_custkey", "l_suppkey"] and sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
     assert max(_per_task(got)) < len(want) / 3
+
+
+@pytest.mark.parametrize("name", ["candidate_ranking", "target_recommendation"])
+def test_parts_are_dealt_by_the_number_of_lines(spark, saved, monkeypatch, name):
+    monkeypatch.setattr(joins, "TASK_ROWS", 100, raising=False)
+    lines = [(k % 90, k * k % 7) for k in range(1200)] + [(91, None), (92, None), (92, 5), (93, None), (93, None), (93, 4), (None, 3), (None, None)]
+    at = saved(lineitem=(lines, "l_partkey long, l_suppkey long"))
+    got = queries.queries()[name](spark, at)
+    want = []
+    for part in {p for p, _ in lines if p is not None}:
+        uses = Counter(s for p, s in lines if p == part)
+        top = [s for s, n in uses.items() if n == max(uses.values())]
+        first = min((s for s in top if s is not None), default=None)
+        if name == "candidate_ranking":
+            want.append((part, len(top), first if len(top) == 1 else None, "matched" if len(top) == 1 else "ambiguous"))
+        else:
+            want.append((part, len(uses), first, "confirmed_unique" if len(uses) == 1 else "probable_ranked" if len(top) == 1 else "probable_tie_break"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert max(_per_task(got)) < len(want) / 3

@@ -20,9 +20,10 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
 
 
 def best_or_tie(df: DataFrame, keys: Sequence[str], score: Sequence[str], item: str) -> DataFrame:
-    """One row per group: the best item if it is alone at the top, else null with status ``ambiguous``. One shuffle, by the keys."""
+    """One row per group: the best item if it is alone at the top, else null with status ``ambiguous``. A null item is one too. One shuffle, by the keys."""
     at_top = df.withColumn("_r", F.rank().over(W.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in score]))).where("_r = 1")
-    out = at_top.groupBy(*keys).agg(F.count_distinct(item).alias("ties"), F.min(item).alias("_first"))
+    ties = F.count_distinct(item) + F.max(F.col(item).isNull().cast("int"))
+    out = at_top.groupBy(*keys).agg(ties.alias("ties"), F.min(item).alias("_first"))
     return out.select(*keys, "ties", F.when(F.col("ties") == 1, F.col("_first")).alias(item), F.when(F.col("ties") == 1, "matched").otherwise("ambiguous").alias("status"))
 
 
@@ -30,8 +31,8 @@ def recommend(df: DataFrame, keys: Sequence[str], score: Sequence[str], item: st
     """The one place where ties are broken, by the smallest name, with a status that says so."""
     per_item = df.groupBy(*keys, item).agg(F.max(F.struct(*score)).alias("_best"))
     group = W.partitionBy(*keys)
-    ranked = per_item.withColumn("candidates", F.count(item).over(group)).withColumn("_r", F.rank().over(group.orderBy(F.desc("_best"))))
-    at_top = ranked.where("_r = 1").groupBy(*keys, "candidates").agg(F.count(item).alias("ties"), F.min(item).alias("recommended"))
+    ranked = per_item.withColumn("candidates", F.count("*").over(group)).withColumn("_r", F.rank().over(group.orderBy(F.desc("_best"))))
+    at_top = ranked.where("_r = 1").groupBy(*keys, "candidates").agg(F.count("*").alias("ties"), F.min(item).alias("recommended"))
     status = F.when(F.col("candidates") == 1, "confirmed_unique").when(F.col("ties") == 1, "probable_ranked").otherwise("probable_tie_break")
     return at_top.select(*keys, "candidates", "recommended", status.alias("status"))
 

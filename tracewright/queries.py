@@ -114,20 +114,24 @@ def evidence_top_k(spark, sf_dir):
     return ranking.top_per_group(orders, ["o_orderpriority"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
 
 
+def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by part and supplier. They are dealt by part once, for the counts and for all that is made of a part's suppliers."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    return joins.dealt(lines.where("l_partkey is not null"), lines.count(), "l_partkey").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
+
+
 @query("""WITH s AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2), m AS (SELECT l_partkey, max(n) AS best FROM s GROUP BY 1)
  SELECT l_partkey, count(*) AS ties, CASE WHEN count(*) = 1 THEN min(l_suppkey) END AS l_suppkey, CASE WHEN count(*) = 1 THEN 'matched' ELSE 'ambiguous' END AS status
  FROM s JOIN m USING (l_partkey) WHERE n = best GROUP BY l_partkey""")
 def candidate_ranking(spark, sf_dir):
-    uses = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
-    return ranking.best_or_tie(uses, ["l_partkey"], ["n"], "l_suppkey")
+    return ranking.best_or_tie(_uses(spark, sf_dir), ["l_partkey"], ["n"], "l_suppkey")
 
 
 @query("""WITH s AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2), m AS (SELECT l_partkey, max(n) AS best, count(*) AS candidates FROM s GROUP BY 1)
  SELECT l_partkey, candidates, min(l_suppkey) AS recommended, CASE WHEN candidates = 1 THEN 'confirmed_unique' WHEN count(*) = 1 THEN 'probable_ranked' ELSE 'probable_tie_break' END AS status
  FROM s JOIN m USING (l_partkey) WHERE n = best GROUP BY l_partkey, candidates""")
 def target_recommendation(spark, sf_dir):
-    uses = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
-    return ranking.recommend(uses, ["l_partkey"], ["n"], "l_suppkey")
+    return ranking.recommend(_uses(spark, sf_dir), ["l_partkey"], ["n"], "l_suppkey")
 
 
 @query("""SELECT o_custkey, max(o_orderdate) AS o_orderdate, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey""")
